@@ -52,3 +52,8 @@ def words(text: Column) -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast when it has at most ``rows`` rows (counted); df must be materialised."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from breachline.llm import chat, exact_dedup, mixing, near_dedup, packing, quality_rules
+from breachline.llm import chat, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules
 from breachline.llm.common import table
 
 
@@ -16,6 +16,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -32,5 +44,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op3_line_dedup, op5_quality_classifier, op6_pii, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing)}
 ORACLES = {"op1_chat_formatting": chat.SQL, "op2_exact_dedup": exact_dedup.SQL, "op8_minhash_near_dedup": near_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
