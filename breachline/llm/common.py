@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send the package to Python workers that could not import it otherwise."""
+    root = Path(__file__).resolve().parents[2]
+    reach = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if any(p and Path(p, "breachline", "llm").is_dir() for p in reach) or spark.conf.get("spark.breachline.shipped", "") == "yes":
+        return
+    folder = tempfile.mkdtemp(prefix="breachline-code-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/breachline", "zip", root, "breachline"))
+    spark.conf.set("spark.breachline.shipped", "yes")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breachline.llm import bytescan
-from breachline.llm.common import materialise, shuffle_parts
+from breachline.llm.common import materialise, ship_code, shuffle_parts
 
 BANDS, ROWS = 12, 2
 #: Members that are compared with a hub in one group; larger groups are split, the hub's text going to each part.
@@ -161,6 +161,7 @@ def near_dedup(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "do
     variants of one document, linked if any of them is. A null id belongs to no component and is
     kept. An empty table gives an empty result; other columns of docs are ignored.
     """
+    ship_code(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = materialise(docs.mapInArrow(_sketches(k), SKETCH), "sketches")
     named = sketch.filter("digest IS NOT NULL AND doc_id IS NOT NULL")

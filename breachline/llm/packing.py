@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from breachline.llm.common import materialise
+from breachline.llm.common import materialise, ship_code
 
 CAPACITY = 1024
 END_ID = 2
@@ -275,6 +275,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     and rows of one doc_id are documents of their own. An empty table gives an empty result; other
     columns of docs are ignored. Ties between pieces of one length go by id, piece and content.
     """
+    ship_code(docs.sparkSession)
     path = tokenizer or tokenizer_file()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = materialise(texts.mapInArrow(_tokenised(path, capacity), PIECES), "pieces")

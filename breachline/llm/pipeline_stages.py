@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from breachline.llm import quality_rules
+from breachline.llm import line_dedup, mixing, near_dedup, packing, quality_rules
+from breachline.llm.common import broadcast_if_small, materialise
+
+#: Decisions of at most this many rows are broadcast to the documents, larger ones shuffled.
+SMALL_ROWS = 500_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,4 +17,42 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.kept_rows(docs)
 
 
-STAGES = [("quality_rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less their recurring lines; those that lose all their words go. n_chars follows the text."""
+    cut = line_dedup.line_dedup(docs).filter((F.col("n_dropped") == 0) | (F.col("text") != ""))
+    changed = F.col("n_dropped") > 0
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, by five-word shingles at a similarity of 0.8."""
+    found = materialise(near_dedup.near_dedup(docs, k=5, percent=80), "near-found")
+    gone = materialise(found.filter(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    kept = docs.join(broadcast_if_small(gone, SMALL_ROWS), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = not found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, whole."""
+    taken = mixing.mix(docs, cut=False).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
+    taken = materialise(taken.filter("_copies > 0").withColumnRenamed("doc_id", "_taken_id"), "mix-taken")
+    joined = docs.join(broadcast_if_small(taken, SMALL_ROWS), docs.doc_id.eqNullSafe(F.col("_taken_id")), "inner")
+    again = joined.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("minhash_near_dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]

@@ -1,8 +1,8 @@
 """A quality classifier from weak labels.
 
-Heuristic labelers vote good, bad or nothing on every document. Expectation-maximisation over the
-counts of vote patterns (bounded: three votes to the power of the labelers) estimates the share of
-good documents and each labeler's accuracy on good and on bad ones; the posteriors of a bounded
+Heuristic labelers know one defect each and vote bad or abstain on every document. Expectation-maximisation over the
+counts of vote patterns (at most two to the power of the labelers) estimates the share of good
+documents and each labeler's accuracy on good and on bad ones; the posteriors of a bounded
 sample of documents train a linear scorer over hashed byte trigrams, which scores every document.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from breachline.llm.common import BLANK_CLASS, WORD_REGEX
+from breachline.llm.common import BLANK_CLASS, WORD_REGEX, ship_code
 
 DIM = 1 << 12
 #: Training takes at most this many documents, those with the smallest hash of (id, seed).
@@ -25,56 +25,54 @@ _EDGE = np.uint32(0x01000193)
 
 
 def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and votes: a base-3 number, one digit per labeler."""
+    """doc_id, text and votes: bit k set where labeler k says bad."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.regexp_count(text, F.lit(WORD_REGEX)).alias("w"))
     t, w = F.col("text"), F.col("w")
     letters = F.greatest(F.length(t) - w, F.lit(1))
     many = w >= 20
-    bad = lambda condition: F.when(many & condition, 2).otherwise(0)
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    sentences = count(r"[.?](?=[\x20\x09-\x0D]|$)") * 60
-    # six labelers know one defect each and abstain where it is absent; the last knows running prose
+    # each labeler knows one defect and abstains where it is absent; shouting is one defect, not two
     labelers = (
-        F.when(w < 12, 2).otherwise(0),
-        bad(count(r"[#*$%&|<>{}\\~^=]") >= 0.3 * w),
-        bad(count(r"\p{Lu}") >= 0.4 * letters),
-        bad(count(rf"(?<![^\x20\x09-\x0D])({WORD_REGEX}){BLANK_CLASS}+\1(?![^\x20\x09-\x0D])") >= 0.15 * w),
-        bad(count("!") >= 0.3 * w),
-        bad((letters < 2 * w) | (letters > 14 * w)),
-        F.when(many, F.when(sentences >= w, 1).when(sentences < 0.25 * w, 2).otherwise(0)).otherwise(0),
+        w < 3,
+        many & (count(r"[#*$%&|<>{}\\~^=]") >= 0.3 * w),
+        many & ((count(r"\p{Lu}") >= 0.4 * letters) | (count("!") >= 0.3 * w)),
+        many & (count(rf"(?<![^\x20\x09-\x0D])({WORD_REGEX}){BLANK_CLASS}+\1(?![^\x20\x09-\x0D])") >= 0.15 * w),
+        many & ((letters < 2 * w) | (letters > 14 * w)),
+        (w >= 50) & (count(r"[.?!](?=[\x20\x09-\x0D]|$)") * 200 < w),
     )
     total = F.lit(0)
     for k, vote in enumerate(labelers):
-        total = total + vote * 3**k
+        total = total + F.when(vote, 1 << k).otherwise(0)
     return counted.select("doc_id", "text", total.cast("int").alias("votes"))
 
 
-N_LABELERS = 7
+N_LABELERS = 6
 
 
-def estimate(patterns: list[tuple[int, int]], rounds: int = 100) -> tuple[float, list[float], dict[int, float]]:
-    """EM over (votes, count): share of good documents, accuracy per labeler, posterior of good per pattern.
+def estimate(patterns: list[tuple[int, int]], rounds: int = 100) -> tuple[float, list[tuple[float, float]], dict[int, float]]:
+    """EM over (votes, count): share of good documents, (hits on bad, false alarms on good) per labeler, posterior of good per pattern.
 
-    A labeler that votes is right with its own probability, whatever the class; where it abstains
-    it says nothing. Pseudo-counts keep rare labelers near the start.
+    The defects hardly overlap, so nothing in the votes alone keeps a defect from being taken for
+    a habit of good documents; the bound on false alarms does: a labeler that fires is an expert.
     """
-    share, right = 0.85, [0.85] * N_LABELERS
-    digit = lambda v, k: v // 3**k % 3
+    share, rates = 0.85, [(0.3, 0.002)] * N_LABELERS
     posterior: dict[int, float] = {}
     for _ in range(rounds):
         for v, _count in patterns:
             odds = math.log(share / (1 - share))
-            for k in range(N_LABELERS):
-                if d := digit(v, k):
-                    odds += (1 if d == 1 else -1) * math.log(right[k] / (1 - right[k]))
+            for k, (hit, alarm) in enumerate(rates):
+                odds += math.log(alarm / hit) if v >> k & 1 else math.log((1 - alarm) / (1 - hit))
             posterior[v] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
         total = sum(c for _, c in patterns)
-        share = min(0.98, max(0.05, (8 + sum(posterior[v] * c for v, c in patterns)) / (10 + total)))
+        good = sum(posterior[v] * c for v, c in patterns)
+        share = min(0.95, max(0.3, (8 + good) / (10 + total)))
         for k in range(N_LABELERS):
-            said = [(c, posterior[v] if digit(v, k) == 1 else 1 - posterior[v]) for v, c in patterns if digit(v, k)]
-            right[k] = min(0.995, max(0.6, (17 + sum(c * p for c, p in said)) / (20 + sum(c for c, _ in said))))
-    return share, right, posterior
+            fired = [(c, posterior[v]) for v, c in patterns if v >> k & 1]
+            hit = (3 + sum(c * (1 - p) for c, p in fired)) / (10 + total - good)
+            alarm = (0.01 + sum(c * p for c, p in fired)) / (10 + good)
+            rates[k] = min(0.9, max(0.1, hit)), min(0.003, max(0.0005, alarm))
+    return share, rates, posterior
 
 
 def _features(text: bytes) -> np.ndarray:
@@ -123,8 +121,9 @@ def classify(docs: DataFrame, threshold: float = 0.5, seed: int = 5, sample: int
     and null ids are scored alike, ties don't arise, an empty table gives an empty result, and other
     columns of docs are ignored.
     """
+    ship_code(docs.sparkSession)
     voted = votes(docs, id_col, text_col)
-    patterns = sorted((r.votes, r.n) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect())  # at most 3^7 rows
+    patterns = sorted((r.votes, r.n) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect())  # at most 2^6 rows
     _, _, posterior = estimate(patterns)
     drawn = voted.select("doc_id", "votes").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "votes").limit(sample)
     drawn = voted.join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id", "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from breachline.llm import chat, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules
+from breachline.llm import chat, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, suffix_dedup
 from breachline.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op3_line_dedup, op5_quality_classifier, op6_pii, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op3_line_dedup, op4_suffix_dedup, op5_quality_classifier, op6_pii, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing)}
 ORACLES = {"op1_chat_formatting": chat.SQL, "op2_exact_dedup": exact_dedup.SQL, "op8_minhash_near_dedup": near_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
