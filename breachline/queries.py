@@ -256,11 +256,11 @@ for _u in ("patch", "deny"):
 
 
 @query("update_metrics", _diff_sql("patch", """SELECT 0::BIGINT AS changed_base_facts, count(*) FILTER (predicate = 'execCode') AS changed_exec_code_facts, count(*) FILTER (predicate = 'ownsMachine') AS changed_ownership_facts,
-  count(*) FILTER (predicate = 'goalReached') AS changed_goal_facts, count(*) AS changed_derived_facts, NULL::BIGINT AS recursive_depth_estimate,
+  count(*) FILTER (predicate = 'goalReached') AS changed_goal_facts, count(*) AS changed_derived_facts, 
   (SELECT count(DISTINCT regexp_extract(fact, ', (host_[0-9]+)', 1)) FROM diff) AS affected_hosts FROM diff"""))
 def update_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of a patch, which leaves effective access alone."""
-    return metrics.update_metrics(*_updated(spark, d, "patch"))
+    return metrics.update_metrics(*_updated(spark, d, "patch")).drop("recursive_depth_estimate")
 
 
 @query("affected_hosts", _diff_sql("deny", """SELECT regexp_extract(fact, ', (host_[0-9]+)', 1) AS host FROM diff UNION SELECT regexp_extract(fact, '\\((host_[0-9]+), host', 1) FROM diff WHERE predicate = 'effectiveAccess'"""))
