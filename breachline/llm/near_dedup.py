@@ -3,12 +3,15 @@
 Two small collections of minhash bands are computed for each distinct shingle set; a table key is a
 pair of one band from each, so that 2 * BANDS bands (of ROWS minhashes) give BANDS ** 2 tables. A
 pair of similarity s meets in some table with probability (1 - (1 - s ** ROWS) ** BANDS) ** 2: at
-0.8 all but one in 10^5.
+0.8 all but two in 10^5. A table key is formed only of bands that some other node shares, which
+most nodes of a corpus don't have, so the tables hold little but relatives.
 
 Sets that are equal are one node. In each bucket a hub (its smallest node) is compared with every
-other node, on full shingle sets of whole texts, and connected nodes become components. Buckets that
-still hold several components get further hubs, in doubling numbers, until every pair of a bucket
-that is not in one component has been compared. No bucket emits all its pairs.
+other node, on full shingle sets of whole texts, and linked nodes become components. Buckets that
+still hold several components form families. In a family, every node outside the largest component
+is compared with all others, block by block, unless they agree in too few bands to be similar: so
+every pair of a bucket is settled, by comparison or by lying in one component, while the bulk of a
+group of copies, which its hub holds together, is never paired among itself.
 """
 
 from __future__ import annotations
@@ -18,13 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breachline.llm import bytescan
 from breachline.llm.common import materialise, ship_code, shuffle_parts
 
-BANDS, ROWS = 12, 2
+BANDS, ROWS = 16, 3
+#: A pair must agree in so many of its 2 * BANDS bands to be compared in full; at 0.8 all but one in 10^6 do.
+AGREE = 4
+#: Nodes on either side that a task of the last comparison holds (expected).
+STRAYS, KIN = 250, 1000
 #: Members that are compared with a hub in one group; larger groups are split, the hub's text going to each part.
 PART = 256
 _rng = np.random.default_rng(77)
@@ -115,7 +122,6 @@ def _verified(k: int, percent: int):
 def _compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (hub, other) whose texts are similar, as links (a, b)."""
     spark = pairs.sparkSession
-    pairs = materialise(pairs, "near-pairs")
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     others = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part"), "other")
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("other"))
@@ -142,17 +148,126 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: components that are linked become one."""
+    own = lambda name: links.join(labels, links[name] == labels.node, "left").select("a", "b", F.coalesce("component", name).alias("c"))
+    ends = own("a").withColumnRenamed("c", "ca").join(own("b").withColumnRenamed("c", "cb"), ["a", "b"])
+    tops = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("was"), F.col("component").alias("top"))
+    old = labels.join(tops, labels.component == tops.was, "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = tops.join(labels, tops.was == labels.node, "left_anti").select(F.col("was").alias("node"), F.col("top").alias("component"))
+    return materialise(old.unionByName(new), "labels")
+
+
+def _agree(x: str, y: str) -> Column:
+    """Whether two arrays of bands are equal in AGREE places at least."""
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda e: e)) >= AGREE
+
+
+def _shared_bands(classes: DataFrame) -> DataFrame:
+    """node, left, right, li, ri: the bands (by index) that some other node has too; nodes without any on either side drop out."""
+    spark = classes.sparkSession
+    side = lambda name, k: F.transform(name, lambda a, i: F.struct(F.lit(k).alias("side"), i.alias("i"), a.alias("band")))
+    rows = classes.select("node", F.explode(F.concat(side("left", 0), side("right", 1))).alias("x")).select("node", "x.*").repartition(shuffle_parts(spark), "side", "i", "band")
+    common = rows.groupBy("side", "i", "band").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1 AND low IS NOT NULL").select("side", "i", "band")
+    own = rows.hint("shuffle_hash").join(common.hint("shuffle_hash"), ["side", "i", "band"], "left_semi").groupBy("node")
+    pick = lambda k: F.collect_list(F.when(F.col("side") == k, F.col("i")))
+    own = materialise(own.agg(pick(0).alias("li"), pick(1).alias("ri")).filter((F.size("li") > 0) & (F.size("ri") > 0)), "near-shared")
+    return classes.select("node", "left", "right").join(own, "node")
+
+
 def buckets(classes: DataFrame) -> DataFrame:
     """key, node of every bucket with more than one node; buckets with the same nodes count once."""
     spark = classes.sparkSession
-    tensor = F.flatten(F.transform("left", lambda a, i: F.transform("right", lambda b, j: F.xxhash64(i, a, j, b))))
-    rows = classes.select("node", F.explode(tensor).alias("key")).repartition(shuffle_parts(spark), "key")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.sum(F.xxhash64("node") % (1 << 31)).alias("sum_a"), F.bit_xor(F.xxhash64("node", F.lit(5))).alias("sum_b")).filter("n > 1")
+    tensor = F.flatten(F.transform("li", lambda i: F.transform("ri", lambda j: F.xxhash64(i, F.get("left", i), j, F.get("right", j)))))
+    rows = _shared_bands(classes).select("node", F.explode(tensor).alias("key")).repartition(shuffle_parts(spark), "key")
+    mark = F.xxhash64("node", F.lit(5))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("mark_a"), F.bit_xor(mark).alias("mark_b")).filter("n > 1")
     shared = materialise(shared, "near-buckets")
-    once = shared.groupBy("n", "low", "sum_a", "sum_b").agg(F.min("key").alias("key")).select("key")
+    once = shared.groupBy("n", "low", "mark_a", "mark_b").agg(F.min("key").alias("key")).select("key")
     return materialise(rows.join(once, "key", "left_semi").select("key", "node").distinct(), "near-rows")
 
 
+def _families(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """family, node, component, stray: nodes of buckets with several components; strays are outside their family's largest."""
+    at = rows.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    open_ = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("node").alias("low")).filter("c0 <> c1").select("key", "low")
+    left = materialise(at.join(open_, "key").select("low", "node", "component").distinct(), "near-open")
+    family = components(left.filter("low <> node").select(F.col("low").alias("a"), F.col("node").alias("b"))).select("node", F.col("component").alias("family"))
+    own = materialise(left.select("node", "component").distinct().join(family, "node"), "near-families")
+    largest = own.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    return own.join(largest, "family").select("family", "node", "component", (F.col("component") != F.col("main")).alias("stray"))
+
+
+def _settled(k: int, percent: int):
+    """Rows (family, ub, fb, stray side, node, component, stray, bands, text), sorted: yields links between components."""
+
+    def settle(group: list[tuple]) -> list[tuple[int, int]]:
+        hubs = [r for r in group if r[0]]
+        kin = [r for r in group if not r[0]]
+        if not hubs or not kin:
+            return []
+        sets: list[np.ndarray] = []
+        for held in bytescan.batches([r[5] for r in hubs + kin]):
+            hashes, first = bytescan.shingles(*bytescan.batch_word_hashes(held), k)
+            sets += [np.unique(hashes[first[i] : first[i + 1]]) for i in range(len(held))]
+        size = np.array([len(x) for x in sets])
+        tokens = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        at = np.concatenate(([0], np.cumsum(size)))
+        n = len(hubs)
+        kin_size, nodes, parts, stray = size[n:], np.array([r[1] for r in kin]), np.array([r[2] for r in kin]), np.array([r[3] for r in kin])
+        bands = np.array([r[4] for r in kin], dtype=np.int64)
+        mark = np.zeros(tokens.max() + 1, dtype=np.int32)
+        out = []
+        for i, (_, node, part, _, own, _) in enumerate(hubs):
+            mine = size[i]
+            likely = (parts != part) & ~(stray & (nodes < node)) & (100 * np.minimum(kin_size, mine) >= percent * np.maximum(kin_size, mine))
+            likely = np.flatnonzero(likely & ((bands == np.array(own, dtype=np.int64)).sum(axis=1) >= AGREE))
+            if not len(likely):
+                continue
+            mark[tokens[at[i] : at[i + 1]]] = 1
+            both = np.array([mark[tokens[at[n + j] : at[n + j + 1]]].sum() for j in likely])
+            mark[tokens[at[i] : at[i + 1]]] = 0
+            linked = likely[100 * both >= percent * (mine + kin_size[likely] - both)]
+            for j in linked[np.unique(parts[linked], return_index=True)[1]]:  # one link to each component will do
+                out.append((node, int(nodes[j])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
+
+        def links() -> pa.RecordBatch:
+            found = settle(group)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(8)), _binary(batch.column(8)), strict=True)
+            for family, ub, fb, *row in rows:
+                if (family, ub, fb) != now:
+                    if group:
+                        yield links()
+                    now, group = (family, ub, fb), []
+                group.append(tuple(row))
+        if group:
+            yield links()
+
+    return run
+
+
+def _settle(families: DataFrame, bands: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between strays and nodes of other components of their families."""
+    spark = docs.sparkSession
+    families = materialise(families.join(bands, "node"), "near-kin")
+    blocks = families.groupBy("family").agg(F.ceil(F.sum(F.col("stray").cast("int")) / STRAYS).cast("int").alias("ubs"), F.ceil(F.count("*") / KIN).cast("int").alias("fbs"))
+    own = families.join(blocks, "family")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    hubs = own.filter("stray").select("family", block("ubs").alias("ub"), all_("fbs").alias("fb"), F.lit(True).alias("side"), "node", "component", "stray", "bands")
+    kin = own.select("family", all_("ubs").alias("ub"), block("fbs").alias("fb"), F.lit(False).alias("side"), "node", "component", "stray", "bands")
+    rows = docs.join(hubs.unionByName(kin), docs.doc_id == F.col("node"), "inner").select("family", "ub", "fb", "side", "node", "component", "stray", "bands", "text")
+    rows = rows.repartition(shuffle_parts(spark), "family", "ub", "fb").sortWithinPartitions("family", "ub", "fb")
+    return materialise(rows.mapInArrow(_settled(k, percent), "a bigint, b bigint"), "near-more")
+
+
 def near_dedup(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -170,26 +285,17 @@ def near_dedup(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "do
     rows = buckets(classes)
     low = rows.groupBy("key").agg(F.min("node").alias("hub"))
     pairs = rows.join(low, "key").filter("hub <> node").select("hub", F.col("node").alias("other")).distinct()
+    pairs = pairs.join(classes.select(F.col("node").alias("hub"), F.concat("left", "right").alias("x")), "hub").join(classes.select(F.col("node").alias("other"), F.concat("left", "right").alias("y")), "other")
+    pairs = materialise(pairs.filter(_agree("x", "y")).select("hub", "other"), "near-pairs")
     own = materialise(sketch.join(classes.select("digest", "node"), "digest", "left").select("doc_id", "n_shingles", "node"), "near-own")
     # nodes that hold variants of one document are linked as they stand
     variants = own.filter("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("b")).filter("a <> z")
     equal = variants.select("a", F.explode("b").alias("b"))
-    tested, links, upto = pairs, _compare(pairs, docs, k, percent), 1
-    while True:
-        labels = components(links.unionByName(equal))
-        at = rows.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        open_ = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).filter((F.col("c0") != F.col("c1")) & (F.col("n") > upto + 1)).select("key")
-        left = materialise(at.join(open_, "key", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node"))), "near-open")
-        if left.isEmpty():
-            break
-        hubs = left.filter(F.col("r").between(upto + 1, 2 * upto)).select("key", F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-        more = left.join(hubs, "key").filter("component <> hub_component").select("hub", F.col("node").alias("other"))
-        more = more.select(F.least("hub", "other").alias("hub"), F.greatest("hub", "other").alias("other")).distinct()
-        more = materialise(more.join(tested, ["hub", "other"], "left_anti"), "near-more")
-        upto *= 2
-        if not more.isEmpty():
-            links = links.unionByName(_compare(more, docs, k, percent))
-            tested = materialise(tested.unionByName(more), "near-tested")
+    labels = components(_compare(pairs, docs, k, percent).unionByName(equal))
+    bands = classes.select("node", F.concat("left", "right").alias("bands"))
+    more = _settle(_families(rows, labels), bands, docs, k, percent)
+    if not more.isEmpty():
+        labels = _joined(labels, more)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     found = own.join(labels.select("node", "component"), "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
