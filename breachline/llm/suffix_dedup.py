@@ -32,7 +32,7 @@ from breachline.llm.common import broadcast_if_small, materialise, ship_code, sh
 WIDTH, GRAM = 100, 28
 HOT = 50_000
 #: Suffixes that a task sorts at a time, and that a range gets (expected).
-RUN, RANGE = 200_000, 200_000
+RUN, RANGE = 60_000, 100_000
 SMALL_ROWS = 300_000
 LAST = (1 << 63) - 1
 _PIECE = 1 << 19
@@ -368,7 +368,7 @@ def _merge(width: int = WIDTH):
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, whole, ranges) to the texts that stay."""
-    for batch in batches:
+    for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
         rows = []
         for text, whole, ranges in zip(batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3), strict=True):
             text = text.as_py() or b""
@@ -405,7 +405,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = broadcast_if_small(copies, SMALL_ROWS)
     sources = long_.join(copies, ["did", "tie"], "left_anti")
     found = sources.select("did", "text").mapInArrow(_anchor_rows, "gram bigint, did bigint, pos int").repartition(shuffle_parts(spark), "gram")
-    shared = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
+    # the same columns on both sides of the join, so that one exchange serves both
+    shared = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("did").alias("d"), F.min("pos").alias("p")).filter("n > 1 AND d IS NOT NULL AND p >= 0").select("gram", "n")
     pos = F.when(F.col("n") > hot, -1 - F.col("pos")).otherwise(F.col("pos"))
     marked = found.hint("shuffle_hash").join(shared.hint("shuffle_hash"), "gram").select("did", pos.alias("pos")).groupBy("did").agg(F.collect_list("pos").alias("marks"), F.count("*").alias("n"))
     marked = materialise(marked, "anchors")
