@@ -56,8 +56,9 @@ def _repeat_words(tokens: Column) -> Column:
     Windows are compared by 64-bit hash. Sorting (hash, position) puts equal windows side by side;
     the positions of those with an equal neighbour, sorted, cover min(3, gap to the next) words each.
     """
-    last = F.size(tokens) - 3
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2)).alias("h"), i.alias("i")))
+
+    def windows(ts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(ts) - 3), lambda i: F.struct(F.xxhash64(F.get(ts, i), F.get(ts, i + 1), F.get(ts, i + 2)).alias("h"), i.alias("i")))
 
     def twin(rows: Column) -> Column:
         return F.filter(rows, lambda x, k: (x["h"] == F.get(rows, k - 1)["h"]) | (x["h"] == F.get(rows, k + 1)["h"]))
@@ -70,8 +71,11 @@ def _repeat_words(tokens: Column) -> Column:
         step = F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("p")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["p"])).cast("int").alias("n"), i.alias("p")))
         return step["n"]
 
-    found = once(F.sort_array(windows), lambda rows: once(F.sort_array(F.transform(twin(rows), lambda x: x["i"])), covered))
-    return F.when(last < 1, F.lit(0)).otherwise(found)
+    def found(ts: Column) -> Column:
+        return once(F.sort_array(windows(ts)), lambda rows: once(F.sort_array(F.transform(twin(rows), lambda x: x["i"])), covered))
+
+    # the words are bound once: an optimiser that moves this expression must not split the text for every window
+    return once(tokens, lambda ts: F.when(F.size(ts) < 4, F.lit(0)).otherwise(found(ts)))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -133,7 +137,10 @@ def quality_rules(docs: DataFrame, policies: tuple[Policy, ...] = POLICIES, rule
 
 def kept_rows(docs: DataFrame, policy: Policy = POLICIES[-1], rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that the policy keeps."""
-    return ledger(docs, rules, id_col, text_col, carry=True).filter(keeps(policy, F.col("failed_bits"), rules)).select("row.*")
+    book = ledger(docs, rules, id_col, text_col, carry=True)
+    # a column that isn't deterministic keeps the filter above the measurements, which are then computed once
+    book = book.withColumn("held", F.spark_partition_id())
+    return book.filter(keeps(policy, F.col("failed_bits"), rules) & (F.col("held") >= 0)).select("row.*")
 
 
 def ablations(book: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:
