@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breachline.llm import bytescan
-from breachline.llm.common import materialise, ship_code, shuffle_parts
+from breachline.llm.common import broadcast_if_small, materialise, ship_code, shuffle_parts
 
 BANDS, ROWS = 16, 3
 #: A pair must agree in so many of its 2 * BANDS bands to be compared in full; at 0.8 all but one in 10^6 do.
 AGREE = 4
 #: Nodes on either side that a task of the last comparison holds (expected).
 STRAYS, KIN = 250, 1000
+#: Tables of at most this many rows are broadcast to the texts, larger ones shuffled; the second kind carries bands.
+SMALL_ROWS, SMALL_BANDS = 300_000, 100_000
 #: Members that are compared with a hub in one group; larger groups are split, the hub's text going to each part.
 PART = 256
 _rng = np.random.default_rng(77)
@@ -125,7 +127,7 @@ def _compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     others = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part"), "other")
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("other"))
-    roles = others.unionByName(hubs)
+    roles = broadcast_if_small(materialise(others.unionByName(hubs), "near-roles"), SMALL_ROWS)
     rows = docs.join(roles, docs.doc_id == roles.other, "inner").select("hub", "part", "other", "text")
     rows = rows.repartition(shuffle_parts(spark), "hub", "part").sortWithinPartitions("hub", "part", F.col("other") != F.col("hub"))
     return materialise(rows.mapInArrow(_verified(k, percent), "a bigint, b bigint"), "near-links")
@@ -190,10 +192,14 @@ def buckets(classes: DataFrame) -> DataFrame:
 def _families(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """family, node, component, stray: nodes of buckets with several components; strays are outside their family's largest."""
     at = rows.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_ = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("node").alias("low")).filter("c0 <> c1").select("key", "low")
-    left = materialise(at.join(open_, "key").select("low", "node", "component").distinct(), "near-open")
-    family = components(left.filter("low <> node").select(F.col("low").alias("a"), F.col("node").alias("b"))).select("node", F.col("component").alias("family"))
-    own = materialise(left.select("node", "component").distinct().join(family, "node"), "near-families")
+    open_ = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
+    left = materialise(at.join(open_.select("key"), "key", "left_semi").select("key", "node", "component"), "near-open")
+    # a family is made of whole components, so a group that its hub holds together is one vertex here
+    parts = left.select("key", "component").distinct()
+    low = parts.groupBy("key").agg(F.min("component").alias("low"))
+    edges = parts.join(low, "key").filter("low <> component").select(F.col("low").alias("a"), F.col("component").alias("b")).distinct()
+    family = components(edges).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    own = materialise(left.select("node", "component").distinct().join(family, "component").select("node", "component", "family"), "near-families")
     largest = own.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
     return own.join(largest, "family").select("family", "node", "component", (F.col("component") != F.col("main")).alias("stray"))
 
@@ -263,7 +269,8 @@ def _settle(families: DataFrame, bands: DataFrame, docs: DataFrame, k: int, perc
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     hubs = own.filter("stray").select("family", block("ubs").alias("ub"), all_("fbs").alias("fb"), F.lit(True).alias("side"), "node", "component", "stray", "bands")
     kin = own.select("family", all_("ubs").alias("ub"), block("fbs").alias("fb"), F.lit(False).alias("side"), "node", "component", "stray", "bands")
-    rows = docs.join(hubs.unionByName(kin), docs.doc_id == F.col("node"), "inner").select("family", "ub", "fb", "side", "node", "component", "stray", "bands", "text")
+    roles = broadcast_if_small(materialise(hubs.unionByName(kin), "near-roles"), SMALL_BANDS)
+    rows = docs.join(roles, docs.doc_id == F.col("node"), "inner").select("family", "ub", "fb", "side", "node", "component", "stray", "bands", "text")
     rows = rows.repartition(shuffle_parts(spark), "family", "ub", "fb").sortWithinPartitions("family", "ub", "fb")
     return materialise(rows.mapInArrow(_settled(k, percent), "a bigint, b bigint"), "near-more")
 
