@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from breachline.llm import bytescan
@@ -177,29 +177,28 @@ def _shared_bands(classes: DataFrame) -> DataFrame:
     return classes.select("node", "left", "right").join(own, "node")
 
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """key, node of every bucket with more than one node; buckets with the same nodes count once."""
+def bucket_pairs(classes: DataFrame) -> DataFrame:
+    """(hub, other): the hub of each bucket, its smallest node, with every other node of it; each pair once."""
     spark = classes.sparkSession
     tensor = F.flatten(F.transform("li", lambda i: F.transform("ri", lambda j: F.xxhash64(i, F.get("left", i), j, F.get("right", j)))))
     rows = _shared_bands(classes).select("node", F.explode(tensor).alias("key")).repartition(shuffle_parts(spark), "key")
-    mark = F.xxhash64("node", F.lit(5))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("mark_a"), F.bit_xor(mark).alias("mark_b")).filter("n > 1")
-    shared = materialise(shared, "near-buckets")
-    once = shared.groupBy("n", "low", "mark_a", "mark_b").agg(F.min("key").alias("key")).select("key")
-    return materialise(rows.join(once, "key", "left_semi").select("key", "node").distinct(), "near-rows")
-
-
-def _families(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """family, node, component, stray: nodes of buckets with several components; strays are outside their family's largest."""
-    at = rows.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_ = at.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
-    left = materialise(at.join(open_.select("key"), "key", "left_semi").select("key", "node", "component"), "near-open")
-    # a family is made of whole components, so a group that its hub holds together is one vertex here
-    parts = left.select("key", "component").distinct()
-    low = parts.groupBy("key").agg(F.min("component").alias("low"))
-    edges = parts.join(low, "key").filter("low <> component").select(F.col("low").alias("a"), F.col("component").alias("b")).distinct()
-    family = components(edges).select(F.col("node").alias("component"), F.col("component").alias("family"))
-    own = materialise(left.select("node", "component").distinct().join(family, "component").select("node", "component", "family"), "near-families")
+    low = F.min("node").over(Window.partitionBy("key"))
+    return materialise(rows.select(low.alias("hub"), F.col("node").alias("other")).filter("hub <> other").distinct(), "near-stars")
+
+
+def _families(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """family, node, component, stray: nodes of components that some bucket holds together; strays are outside their family's largest.
+
+    Every bucket's components are tied to its hub's, so a bucket never reaches beyond its family.
+    """
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"))
+    at = stars.join(of("hub"), "hub", "left").join(of("other"), "other", "left")
+    ends = at.select("hub", "other", F.coalesce("hub_c", "hub").alias("a"), F.coalesce("other_c", "other").alias("b")).filter("a <> b")
+    ends = materialise(ends, "near-open")
+    family = components(ends.select("a", "b").distinct()).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    alone = ends.select(F.col("hub").alias("node"), F.col("a").alias("component")).unionByName(ends.select(F.col("other").alias("node"), F.col("b").alias("component"))).filter("node = component")
+    nodes = labels.select("node", "component").unionByName(alone).distinct()
+    own = materialise(nodes.join(family, "component").select("node", "component", "family"), "near-families")
     largest = own.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
     return own.join(largest, "family").select("family", "node", "component", (F.col("component") != F.col("main")).alias("stray"))
 
@@ -289,9 +288,7 @@ def near_dedup(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "do
     named = sketch.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("left").alias("left"), F.first("right").alias("right"))
     classes = materialise(classes, "classes")
-    rows = buckets(classes)
-    low = rows.groupBy("key").agg(F.min("node").alias("hub"))
-    pairs = rows.join(low, "key").filter("hub <> node").select("hub", F.col("node").alias("other")).distinct()
+    pairs = stars = bucket_pairs(classes)
     pairs = pairs.join(classes.select(F.col("node").alias("hub"), F.concat("left", "right").alias("x")), "hub").join(classes.select(F.col("node").alias("other"), F.concat("left", "right").alias("y")), "other")
     pairs = materialise(pairs.filter(_agree("x", "y")).select("hub", "other"), "near-pairs")
     own = materialise(sketch.join(classes.select("digest", "node"), "digest", "left").select("doc_id", "n_shingles", "node"), "near-own")
@@ -300,7 +297,7 @@ def near_dedup(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "do
     equal = variants.select("a", F.explode("b").alias("b"))
     labels = components(_compare(pairs, docs, k, percent).unionByName(equal))
     bands = classes.select("node", F.concat("left", "right").alias("bands"))
-    more = _settle(_families(rows, labels), bands, docs, k, percent)
+    more = _settle(_families(stars, labels), bands, docs, k, percent)
     if not more.isEmpty():
         labels = _joined(labels, more)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
