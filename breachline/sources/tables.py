@@ -1,4 +1,7 @@
-"""Base relations as views over business tables: hosts are parts, routes are line items.
+"""Base relations as views over business tables: hosts are parts, routes are line items, attackers are customers.
+
+Every row of a table takes part. Each line item is a route and a firewall rule, and its supplier says
+whether the rule denies; each customer is an attacker with a goal per nation.
 
 The statements run unchanged on Spark and on DuckDB, so the same text serves queries and oracles.
 """
@@ -13,15 +16,15 @@ _HOST = "'host_' || (l_orderkey % (SELECT count(*) FROM part))"
 _SERVICE = "CASE l_returnflag WHEN 'A' THEN 'ssh' WHEN 'N' THEN 'http' ELSE 'smb' END"
 _NEEDS = "CASE p_size % 3 WHEN 0 THEN 'ssh' WHEN 1 THEN 'http' ELSE 'smb' END"
 _GIVES = "CASE WHEN p_size % 5 = 0 THEN 'none' WHEN p_size % 5 <= 2 THEN 'user' ELSE 'root' END"
-_ATTACKERS = "c_custkey % 50 = 0 AND c_custkey < 150"
+_GOAL = "'host_' || ((c_custkey + n_nationkey * 7) % (SELECT count(*) FROM part))"
 
 VIEWS = {
-    "hacl": f"SELECT 'host_' || l_partkey AS source_host, {_HOST} AS destination_host, {_SERVICE} AS service_name FROM lineitem WHERE l_quantity <= 10",
-    "firewallDeny": f"SELECT 'host_' || l_partkey AS source_zone, {_HOST} AS destination_host, {_SERVICE} AS service_name, CASE WHEN l_suppkey % 7 = 0 THEN 'deny' ELSE 'allow' END AS rule_action FROM lineitem WHERE l_quantity <= 10 AND l_suppkey % 7 <= 1",
+    "hacl": f"SELECT 'host_' || l_partkey AS source_host, {_HOST} AS destination_host, {_SERVICE} AS service_name FROM lineitem",
+    "firewallDeny": f"SELECT 'host_' || l_partkey AS source_zone, {_HOST} AS destination_host, {_SERVICE} AS service_name, CASE WHEN l_suppkey % 7 = 0 THEN 'deny' ELSE 'allow' END AS rule_action FROM lineitem",
     "vulExists": f"SELECT 'host_' || p_partkey AS host_name, 'CVE-A-' || p_partkey AS vulnerability_id, {_NEEDS} AS affected_service, {_GIVES} AS privilege FROM part UNION ALL SELECT 'host_' || p_partkey, 'CVE-B-' || p_partkey, {_NEEDS}, {_GIVES} FROM part WHERE p_partkey % 10 = 0",
     "localVulExists": "SELECT 'host_' || p_partkey AS host_name, 'CVE-L-' || p_partkey AS vulnerability_id, CASE WHEN p_size % 7 = 0 THEN 'root' ELSE 'user' END AS privilege FROM part WHERE p_size % 7 = 0 OR p_size % 11 = 0",
-    "attackerLocated": f"SELECT 'attacker_' || c_custkey AS attacker_id, 'host_' || c_custkey AS starting_host, CASE WHEN c_custkey % 100 = 0 THEN 'user' ELSE 'root' END AS initial_privilege FROM customer WHERE {_ATTACKERS}",
-    "attackGoal": f"SELECT 'attacker_' || c_custkey AS attacker_id, 'host_' || (n_nationkey * 7) AS target_host_name FROM customer CROSS JOIN nation WHERE {_ATTACKERS}",
+    "attackerLocated": "SELECT 'attacker_' || c_custkey AS attacker_id, 'host_' || c_custkey AS starting_host, CASE WHEN c_custkey % 100 = 0 THEN 'user' ELSE 'root' END AS initial_privilege FROM customer",
+    "attackGoal": f"SELECT 'attacker_' || c_custkey AS attacker_id, {_GOAL} AS target_host_name FROM customer CROSS JOIN nation",
 }
 _TABLES = ("lineitem", "part", "customer", "nation")
 

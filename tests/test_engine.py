@@ -151,3 +151,34 @@ def test_store_round_trip(spark, tmp_path):
     again = FactStore.read(spark, str(tmp_path / "s"))
     rows = lambda s: sorted((r.predicate, tuple(r.args)) for r in s.tagged().collect())
     assert rows(again) == rows(store) == rows(store_of(store.tagged()))
+
+
+def test_whole_tables(spark, tmp_path):
+    """The business tables count with every row: all customers attack, all line items are routes."""
+    from breachline import queries
+    from breachline.plans.facts import BASE
+    from breachline.sources.tables import table_store
+
+    r = random.Random(8)
+    tables = {
+        "part": ("p_partkey long, p_size int", [(k, r.randint(1, 50)) for k in range(12)]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string", [(r.randrange(400), r.randrange(12), r.randrange(30), float(r.randint(1, 50)), r.choice("ANR")) for _ in range(60)]),
+        "customer": ("c_custkey long", [(k,) for k in range(0, 450, 41)]),
+        "nation": ("n_nationkey long", [(k,) for k in range(4)]),
+        "events": ("event_id long, user_id long", [(k, r.randrange(5)) for k in range(40)]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    store = table_store(spark, str(tmp_path))
+    rows = {p: [tuple(x) for x in store.relation(p).select(*c).collect()] for p, c in BASE.items()}
+    assert {a for a, *_ in rows["attackerLocated"]} == {a for a, _ in rows["attackGoal"]} == {f"attacker_{k}" for (k,) in tables["customer"][1]}
+    assert len(rows["hacl"]) == len(rows["firewallDeny"]) == 60 and len(rows["attackGoal"]) == 4 * len(rows["attackerLocated"])
+    assert state(rules.evaluate(store)) == derive(rows)
+    patched = {h for h, _, s, p in rows["vulExists"] if (s, p) == ("ssh", "user")}
+    assert {x.args[0] for x in queries._patch(store).collect()} == patched
+    sums = {}
+    for k, user in tables["events"][1]:
+        if k < 39 / 2:
+            key = (f"host_{user % 97}", f"CVE-{k % 3}")
+            sums[key] = sums.get(key, 0) + (1 if k % 5 < 3 else -1)
+    assert {(h, c): n for h, c, n in queries.state_as_of(spark, str(tmp_path)).collect()} == {k: n for k, n in sums.items() if n}
