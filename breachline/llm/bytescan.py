@@ -121,7 +121,7 @@ def shingles(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np
     n = np.diff(at)
     total = len(hashes)
     rolled = np.zeros(max(total - k + 1, 0), dtype=np.uint64)
-    for j in range(k):
+    for j in range(k if total >= k else 0):
         rolled += mix(hashes[j : total - k + 1 + j] + _SPREAD[j % 5]) * _SPREAD[(j + 1) % 5] * U64(2 * j + 1)
     rolled = mix(rolled)
     count = np.where(n >= k, n - k + 1, (n > 0).astype(n.dtype))

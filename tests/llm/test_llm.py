@@ -352,3 +352,13 @@ def test_pipeline(spark, docs, empty, tmp_path):
             if source is docs and name == "mixing":
                 assert {x.text for x in at.collect()} <= {x.text for x in before.collect()}
         assert "sequence_id" in at.columns and (source is empty) == at.isEmpty()
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_shingles_of_few_words(k):
+    """A batch of one text of 1 to k words has one shingle, the same as beside other texts."""
+    for n in range(1, k + 1):
+        few, more = " ".join(WORDS[:n]).encode(), " ".join(WORDS).encode()
+        alone, first = bytescan.shingles(*bytescan.batch_word_hashes([few]), k)
+        beside, _ = bytescan.shingles(*bytescan.batch_word_hashes([few, more]), k)
+        assert first.tolist() == [0, 1] and alone.tolist() == beside[:1].tolist()
