@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from breachline.llm import line_dedup, mixing, near_dedup, packing, quality_rules
@@ -27,12 +27,25 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, by five-word shingles at a similarity of 0.8."""
-    found = materialise(near_dedup.near_dedup(docs, k=5, percent=80), "near-found")
-    gone = materialise(found.filter(~F.col("kept")).select("doc_id").distinct(), "near-gone")
-    kept = docs.join(broadcast_if_small(gone, SMALL_ROWS), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = not found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """One document of each near-duplicate group, by five-word shingles at a similarity of 0.8.
+
+    Rows with a null id stay. Rows that repeat an id are compared like any others: the text with the
+    smallest hash goes by the id, its other texts by a hash of their own.
+    """
+    text_hash = F.xxhash64("text")
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(text_hash).alias("_least")).filter("n > 1")
+    repeated = materialise(repeated.select(F.col("doc_id").alias("_again"), "_least"), "near-repeated")
+    keyed = docs.join(broadcast_if_small(repeated, SMALL_ROWS), docs.doc_id == F.col("_again"), "left")
+    own = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)  # after other ids
+    keyed = keyed.withColumn("_row", F.when(text_hash != F.col("_least"), own).otherwise(F.col("doc_id").cast("long")))
+    found = materialise(near_dedup.near_dedup(keyed, k=5, percent=80, id_col="_row"), "near-found")
+    gone = materialise(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_row")).distinct(), "near-gone")
+    kept = keyed.join(broadcast_if_small(gone, SMALL_ROWS), "_row", "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # of rows with one id and text, the first by a hash of all columns
+    copy = F.row_number().over(Window.partitionBy("_row").orderBy(F.xxhash64(*columns)))
+    once = kept.filter("_again IS NOT NULL").withColumn("_copy", copy).filter("_copy = 1")
+    return kept.filter("_again IS NULL").select(*columns).unionByName(once.select(*columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -362,3 +362,15 @@ def test_shingles_of_few_words(k):
         alone, first = bytescan.shingles(*bytescan.batch_word_hashes([few]), k)
         beside, _ = bytescan.shingles(*bytescan.batch_word_hashes([few, more]), k)
         assert first.tolist() == [0, 1] and alone.tolist() == beside[:1].tolist()
+
+
+def test_near_stage_rows(spark):
+    """Null ids stay whatever other ids do; texts that share an id stay unless they are copies."""
+    from breachline.llm.pipeline_stages import near_stage
+
+    r = random.Random(12)
+    a, b, c, d, e = (prose(r, 40) for _ in range(5))
+    rows = [(1, a), (1, b), (1, a), (2, b), (3, e), (None, c), (None, d), (4, None), (4, e)]
+    got = near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(x.text or "" for x in got) == sorted([a, b, c, d, e, ""])
+    assert sorted(x.text for x in got if x.doc_id is None) == sorted([c, d])
