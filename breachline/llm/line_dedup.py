@@ -6,8 +6,9 @@ agree everywhere but in one of BLOCKS stretches of the rest share a template in
 is variable; shorter lines must agree in full. So each line carries a few template keys, all of
 which are plain hashes that can be counted without bringing a leaf together.
 
-A template that occurs in at least ``min_docs`` documents is boilerplate: its first occurrence (the
-smallest id) stays, and later documents lose the line.
+A template that occurs in at least ``min_docs`` documents is boilerplate, and so is a line of one word
+or more that occurs as it is in EXACT_DOCS: the first occurrence (the smallest id) stays, and later
+documents lose the line.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ DEPTH = 2
 BLOCKS = 4
 #: Lines of fewer tokens have no template but themselves.
 GENERAL = 12
-#: Shorter lines are never dropped.
+#: Shorter lines have no template but their words as they are.
 LEAST = 3
+#: Documents that share a generalised template, and those that share the words of a line as they are.
 MIN_DOCS = 3
+EXACT_DOCS = 2
 #: Tables of at most this many rows (of some dozen bytes) are broadcast, larger ones shuffled.
 SMALL_ROWS = 500_000
 
@@ -32,13 +35,19 @@ def _once(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def _even(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(-2))
+
+
 def template_keys(line: Column) -> Column:
-    """The hashes of the templates that the line falls under; none for lines of fewer than LEAST tokens."""
+    """The hashes of the templates that the line falls under; none for lines without words. Odd hashes stand for words as they are."""
 
     def keys(tokens: Column) -> Column:
         n = F.size(tokens)
         masked = F.when(line.rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))).otherwise(tokens)
 
+        exact = F.xxhash64(F.lit(-2), F.array_join(tokens, " ")).bitwiseOR(F.lit(1))
+
         def of(m: Column) -> Column:
             rest = n - DEPTH
 
@@ -48,14 +57,14 @@ def template_keys(line: Column) -> Column:
                 return F.xxhash64(F.array_join(F.slice(m, (low + DEPTH + 1).cast("int"), (high - low).cast("int")), " "))
 
             leaf = F.xxhash64(n, *[F.get(m, F.lit(k)) for k in range(DEPTH)])
-            whole = F.xxhash64(F.lit(-1), n, F.array_join(m, " "))
+            whole = _even(F.xxhash64(F.lit(-1), n, F.array_join(m, " ")))
 
             def general(b: Column) -> Column:
-                return F.array(*[F.xxhash64(F.lit(k), leaf, *[F.get(b, F.lit(j)) for j in range(BLOCKS) if j != k]) for k in range(BLOCKS)])
+                return F.array(*[_even(F.xxhash64(F.lit(k), leaf, *[F.get(b, F.lit(j)) for j in range(BLOCKS) if j != k])) for k in range(BLOCKS)])
 
-            return F.when(n >= GENERAL, F.concat(F.array(whole), _once(F.array(*map(block, range(BLOCKS))), general))).otherwise(F.array(whole))
+            return F.when(n >= GENERAL, F.concat(F.array(exact, whole), _once(F.array(*map(block, range(BLOCKS))), general))).when(n >= LEAST, F.array(exact, whole)).otherwise(F.array(exact))
 
-        return F.when(n >= LEAST, _once(masked, of)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n > 0, _once(masked, of)).otherwise(F.array().cast("array<bigint>"))
 
     return _once(words(line), keys)
 
@@ -70,7 +79,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id",
     own = materialise(own, "line-keys")
     # a template counts once per document, whatever the number of its lines there
     each = own.select("doc_id", F.explode(F.array_distinct(F.flatten("keys"))).alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") >= min_docs)
+    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") >= F.when(F.col("key") % 2 != 0, min(EXACT_DOCS, min_docs)).otherwise(min_docs))
     shared = materialise(shared.select("key", "first"), "line-templates")
     at = own.select("doc_id", F.posexplode("keys").alias("line", "keys")).select("doc_id", "line", F.explode("keys").alias("key"))
     return at.join(broadcast_if_small(shared, SMALL_ROWS), "key").filter(F.col("first") < F.col("doc_id")).select("doc_id", "line").distinct()

@@ -374,3 +374,11 @@ def test_near_stage_rows(spark):
     got = near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(x.text or "" for x in got) == sorted([a, b, c, d, e, ""])
     assert sorted(x.text for x in got if x.doc_id is None) == sorted([c, d])
+
+
+def test_lines_of_two_documents(spark):
+    """Two documents are enough for words as they are, and one word is enough for a line."""
+    long = " ".join(WORDS)
+    rows = [(1, f"{long}\nShare\nonly here"), (2, f"{long}\nhere too"), (3, "Share\n \nand there"), (4, "2021"), (5, "2022"), (6, "2023")]
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "here too", 3: " \nand there", 4: "2021", 5: "2022", 6: "2023"}
