@@ -1,10 +1,10 @@
 """Line dedup by a tree of log templates, in DataFrame operations.
 
-A line falls through a tree of fixed depth: first by its number of tokens, then by its leading
-tokens. Tokens that hold a digit are variable from the start. At a leaf, lines of enough tokens that
-agree everywhere but in one of BLOCKS stretches of the rest share a template in which that stretch
-is variable; shorter lines must agree in full. So each line carries a few template keys, all of
-which are plain hashes that can be counted without bringing a leaf together.
+A line falls through a tree: first by its number of tokens, then by the words of one of BLOCKS
+stretches of it. Tokens that hold a digit are variable from the start. Lines that vary in at most
+FIELDS tokens share at least one stretch, so they meet in some leaf. There tokens are counted by
+position, and the rarest 1, 2, .. FIELDS tokens of a line (at most SHARE of it) are variable by
+turns, wherever they stand; each choice is a template, a plain hash of what is left.
 
 A template that occurs in at least ``min_docs`` documents is boilerplate, and so is a line of one word
 or more that occurs as it is in EXACT_DOCS: the first occurrence (the smallest id) stays, and later
@@ -18,15 +18,16 @@ from pyspark.sql import functions as F
 
 from breachline.llm.common import BLANKS, broadcast_if_small, materialise, words
 
-DEPTH = 2
-BLOCKS = 4
-#: Lines of fewer tokens have no template but themselves.
-GENERAL = 12
+#: Tokens of a line that may vary besides those with digits, in number and as a share; one stretch more than that.
+FIELDS, SHARE = 4, 0.4
+BLOCKS = FIELDS + 1
 #: Shorter lines have no template but their words as they are.
 LEAST = 3
 #: Documents that share a generalised template, and those that share the words of a line as they are.
 MIN_DOCS = 3
 EXACT_DOCS = 2
+#: Kinds of keys: masked whole lines, words as they are, leaves.
+WHOLE, EXACT, LEAF = 0, 1, 2
 #: Tables of at most this many rows (of some dozen bytes) are broadcast, larger ones shuffled.
 SMALL_ROWS = 500_000
 
@@ -35,54 +36,100 @@ def _once(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _even(key: Column) -> Column:
-    return key.bitwiseAND(F.lit(-2))
+def _marked(key: Column, kind: int) -> Column:
+    return key.bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(kind))
+
+
+def _masked(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
 
 
 def template_keys(line: Column) -> Column:
-    """The hashes of the templates that the line falls under; none for lines without words. Odd hashes stand for words as they are."""
+    """The hashes of the templates and leaves that the line falls under, their kind in the last bits; none for lines without words."""
 
     def keys(tokens: Column) -> Column:
         n = F.size(tokens)
-        masked = F.when(line.rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))).otherwise(tokens)
-
-        exact = F.xxhash64(F.lit(-2), F.array_join(tokens, " ")).bitwiseOR(F.lit(1))
+        masked = F.when(line.rlike("[0-9]"), _masked(tokens)).otherwise(tokens)
+        exact = _marked(F.xxhash64(F.lit(-2), F.array_join(tokens, " ")), EXACT)
 
         def of(m: Column) -> Column:
-            rest = n - DEPTH
+            blocks = F.least(n, F.lit(BLOCKS))
 
-            def block(k: int) -> Column:
-                """Hash of stretch k of the tokens after the leading ones."""
-                low, high = F.floor(rest * k / BLOCKS), F.floor(rest * (k + 1) / BLOCKS)
-                return F.xxhash64(F.array_join(F.slice(m, (low + DEPTH + 1).cast("int"), (high - low).cast("int")), " "))
+            def leaf(k: Column) -> Column:
+                low, high = F.floor(n * k / blocks), F.floor(n * (k + 1) / blocks)
+                return _marked(F.xxhash64(n, k, F.array_join(F.slice(m, (low + 1).cast("int"), (high - low).cast("int")), " ")), LEAF)
 
-            leaf = F.xxhash64(n, *[F.get(m, F.lit(k)) for k in range(DEPTH)])
-            whole = _even(F.xxhash64(F.lit(-1), n, F.array_join(m, " ")))
-
-            def general(b: Column) -> Column:
-                return F.array(*[_even(F.xxhash64(F.lit(k), leaf, *[F.get(b, F.lit(j)) for j in range(BLOCKS) if j != k])) for k in range(BLOCKS)])
-
-            return F.when(n >= GENERAL, F.concat(F.array(exact, whole), _once(F.array(*map(block, range(BLOCKS))), general))).when(n >= LEAST, F.array(exact, whole)).otherwise(F.array(exact))
+            whole = _marked(F.xxhash64(F.lit(-1), n, F.array_join(m, " ")), WHOLE)
+            return F.when(n >= LEAST, F.concat(F.array(exact, whole), F.transform(F.sequence(F.lit(0), blocks - 1), leaf))).otherwise(F.array(exact))
 
         return F.when(n > 0, _once(masked, of)).otherwise(F.array().cast("array<bigint>"))
 
     return _once(words(line), keys)
 
 
+def _row(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _fields(open_: DataFrame, own: DataFrame, min_docs: int) -> DataFrame:
+    """row, line: the lines among open_ (row, doc_id, line, leaf, low, high, n) that templates with variable fields drop.
+
+    low, high and n are the first and last document of the words of the line and their number.
+    """
+    spots = open_.select("row", "line").distinct()
+    at = F.get(_lines(F.col("text")), F.col("line"))
+    texts = spots.join(own.select("row", "text").dropDuplicates(["row"]), "row").select("row", "line", F.transform(_masked(words(at)), lambda t: F.xxhash64(t)).alias("tokens"))
+    texts = materialise(texts, "line-open")
+    each = open_.select("row", "line", "leaf").join(texts, ["row", "line"]).select("row", "line", "leaf", F.posexplode("tokens").alias("pos", "token"))
+    counts = materialise(each.groupBy("leaf", "pos", "token").agg(F.count("*").alias("often")), "line-counts")
+    ranked = each.join(broadcast_if_small(counts, SMALL_ROWS), ["leaf", "pos", "token"])
+    ranked = ranked.groupBy("row", "line", "leaf").agg(F.sort_array(F.collect_list(F.struct("often", "pos", "token"))).alias("t"))
+    n = F.size("t")
+
+    def without(v: Column) -> Column:
+        """The template with the v rarest tokens variable."""
+        left = F.array_sort(F.transform(F.slice("t", v + 1, n - v), lambda x: F.struct(x["pos"].alias("pos"), x["token"].alias("token"))))
+        return F.xxhash64(n, left)
+
+    most = F.least(F.lit(FIELDS), F.greatest(F.lit(1), F.floor(n * SHARE))).cast("int")
+    keyed = ranked.select("row", "line", F.explode(F.transform(F.sequence(F.lit(1), most), without)).alias("key")).distinct()
+    keyed = materialise(keyed.join(open_.select("row", "line", "doc_id", "low", "high", "n").distinct(), ["row", "line"]), "line-keyed")
+    # a line of min_docs documents counts enough by itself; fewer are told by the first and the last
+    held = keyed.groupBy("key").agg(F.max("n").alias("n"), F.min("low").alias("first"))
+    docs = keyed.select("key", F.explode(F.array("low", "high")).alias("d")).distinct().groupBy("key").agg(F.count("*").alias("docs"))
+    shared = materialise(held.join(docs, "key").filter(F.greatest("n", "docs") >= min_docs).select("key", "first"), "line-fields")
+    return keyed.join(broadcast_if_small(shared, SMALL_ROWS), "key").filter(F.col("first") < F.col("doc_id")).select("row", "line").distinct()
+
+
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line (place from 0): the lines that later documents lose. Null ids and null texts lose none."""
-    own = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.transform(_lines(F.col(text_col)), template_keys).alias("keys"))
+    """row (hash of id and text), line (place from 0): the lines that later documents lose. Null ids and null texts lose none."""
+    own = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    own = own.select(_row(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.transform(_lines(F.col(text_col)), template_keys).alias("keys"))
     own = materialise(own, "line-keys")
     # a template counts once per document, whatever the number of its lines there
-    each = own.select("doc_id", F.explode(F.array_distinct(F.flatten("keys"))).alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") >= F.when(F.col("key") % 2 != 0, min(EXACT_DOCS, min_docs)).otherwise(min_docs))
-    shared = materialise(shared.select("key", "first"), "line-templates")
-    at = own.select("doc_id", F.posexplode("keys").alias("line", "keys")).select("doc_id", "line", F.explode("keys").alias("key"))
-    return at.join(broadcast_if_small(shared, SMALL_ROWS), "key").filter(F.col("first") < F.col("doc_id")).select("doc_id", "line").distinct()
+    each = own.select("doc_id", F.explode(F.array_distinct(F.flatten("keys"))).alias("key")).distinct()
+    least = F.when(F.col("key").bitwiseAND(3) == EXACT, min(EXACT_DOCS, min_docs)).otherwise(min_docs)
+    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("n") >= least)
+    shared = materialise(shared, "line-templates")
+    at = own.select("row", "doc_id", F.posexplode("keys").alias("line", "keys")).select("row", "doc_id", "line", F.explode("keys").alias("key"))
+    found = materialise(at.join(broadcast_if_small(shared, SMALL_ROWS), "key"), "line-found")
+    kind = F.col("key").bitwiseAND(3)
+    lost = materialise(found.filter((kind != LEAF) & (F.col("first") < F.col("doc_id"))).select("row", "line").distinct(), "line-lost")
+    # one copy of each line goes on to the leaves, with the documents that its words stand in
+    words_ = found.filter(kind == EXACT).select("row", "line", "n", F.col("last").alias("high")).distinct()
+    leaves = found.filter(kind == LEAF).select("row", "doc_id", "line", F.col("key").alias("leaf")).distinct()
+    open_ = leaves.join(broadcast_if_small(lost, SMALL_ROWS), ["row", "line"], "left_anti").join(words_, ["row", "line"], "left")
+    open_ = open_.select("row", "doc_id", "line", "leaf", F.col("doc_id").alias("low"), F.coalesce("high", "doc_id").alias("high"), F.coalesce("n", F.lit(1)).alias("n"))
+    open_ = materialise(open_, "line-leaves")
+    # one line alone in its leaf has no template but its own words
+    full = open_.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("docs")).filter((F.col("lines") > 1) & (F.col("docs") >= min_docs))
+    full = materialise(full.select("leaf"), "line-full-leaves")
+    open_ = open_.join(broadcast_if_small(full, SMALL_ROWS), "leaf", "left_semi")
+    return lost.unionByName(_fields(open_, own, min_docs)).distinct()
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,16 +137,16 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id"
 
     Lines are split at ``\\n``. A document that loses no line keeps its text as it was, null too.
     One that loses all lines with words has an empty text. Rows that repeat an id are one document
-    for counting; each loses the lines at the places found in any of them. An empty table gives an
+    for counting; each loses its own lines. An empty table gives an
     empty result. Columns named n_lines or n_dropped are replaced.
     """
-    lost = recurring(docs, min_docs, id_col, text_col).groupBy(F.col("doc_id").alias("_lost_id")).agg(F.sort_array(F.collect_list("line")).alias("_lost"))
+    lost = recurring(docs, min_docs, id_col, text_col).groupBy(F.col("row").alias("_lost_row")).agg(F.sort_array(F.collect_list("line")).alias("_lost"))
     lost = materialise(lost, "lost-lines")
     lines = _lines(F.col(text_col))
     gone = F.coalesce("_lost", F.array().cast("array<int>"))
     kept = F.filter(lines, lambda x, i: ~F.array_contains(gone, i))
     left = F.when(F.exists(kept, lambda x: F.length(F.btrim(x, F.lit("".join(BLANKS)))) > 0), F.array_join(kept, "\n")).otherwise(F.lit(""))
     text = F.when(F.size(gone) > 0, left).otherwise(F.col(text_col))
-    joined = docs.join(broadcast_if_small(lost, SMALL_ROWS), docs[id_col] == F.col("_lost_id"), "left")
+    joined = docs.join(broadcast_if_small(lost, SMALL_ROWS), _row(id_col, text_col) == F.col("_lost_row"), "left")
     counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_dropped": F.size(gone).cast("long")}
     return joined.select(*[(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in counts], *[v.alias(k) for k, v in counts.items()])

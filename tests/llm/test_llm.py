@@ -382,3 +382,17 @@ def test_lines_of_two_documents(spark):
     rows = [(1, f"{long}\nShare\nonly here"), (2, f"{long}\nhere too"), (3, "Share\n \nand there"), (4, "2021"), (5, "2022"), (6, "2023")]
     got = {x.doc_id: x.text for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "here too", 3: " \nand there", 4: "2021", 5: "2022", 6: "2023"}
+
+
+def test_line_fields(spark):
+    """Words vary in short lines, at the start, and in several places at once; long lines with words of their own stay."""
+    r = random.Random(3)
+    names = [f"name{c}" for c in "abcdefgh"]
+    days = ["Monday", "Tuesday", "Friday"]
+    long = [prose(r, 300) for _ in range(3)]
+    own = [" ".join(f"{c}{'xyz'[i]}" for c in WORDS) for i in range(3)]
+    rows = [(i, f"Posted by {v} on {days[i % 3]}\n{v} was here\n{v} has logged in from the main office in {v[::-1]} and left at noon for lunch") for i, v in enumerate(names)]
+    rows += [(20 + i, f"{long[0]} {own[i]}") for i in range(3)]
+    got = {x.doc_id: (x.n_dropped, x.text) for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (0, rows[0][1]) and all(got[i] == (3, "") for i in range(1, 8))
+    assert all(got[20 + i] == (0, rows[8 + i][1]) for i in range(3))
