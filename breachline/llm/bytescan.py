@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -99,6 +101,17 @@ def batches(texts: Iterable[bytes], size: int = CHUNK) -> Iterator[list[bytes]]:
         yield held
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 4 * CHUNK, rows: int = 4000) -> Iterator[pa.RecordBatch]:
+    """batch in slices of about size bytes of a text column and at most so many rows."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def batch_word_hashes(texts: list[bytes], table: np.ndarray = BYTE_LOWER) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and per text the place of its first (with one more at the end)."""
     if sum(map(len, texts)) > 2 * CHUNK:

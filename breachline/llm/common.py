@@ -68,6 +68,11 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast when it has at most ``rows`` rows (counted); df must be materialised."""
+def broadcast_if_small(df: DataFrame, rows: int, weight: Column | None = None) -> DataFrame:
+    """df, marked for broadcast when it has at most ``rows`` rows (counted); df must be materialised.
+
+    With ``weight``, what each row counts for: the length of an array in it, say.
+    """
+    if weight is not None:
+        return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= rows else df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -49,4 +49,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op3_line_dedup, op4_suffix_dedup, op5_quality_classifier, op6_pii, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing)}
-ORACLES = {"op1_chat_formatting": chat.SQL, "op2_exact_dedup": exact_dedup.SQL, "op8_minhash_near_dedup": near_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
+ORACLES = {"op1_chat_formatting": chat.SQL, "op2_exact_dedup": exact_dedup.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op8_minhash_near_dedup": near_dedup.SQL, "op9_quality_rules": quality_rules.SQL}

@@ -4,20 +4,22 @@ Only suffixes at anchors are sorted: the anchor of a WIDTH-byte window is the sm
 GRAM-byte substrings, so equal windows have equal anchors at equal offsets, and each anchor stands
 for a range of window starts. Anchors whose substring occurs nowhere else drop out first.
 
-Tasks sort the suffixes of their documents into runs, front-coded (shared prefix length and rest),
-cut by ranges of the anchor hash, and exchange them. A loser tree merges the runs of a range; it
-carries every contender's common prefix with the last output and so compares no known prefix twice.
-Suffixes of one anchor then meet: the earliest of equal contexts is the source of the others, and
-windows of differing contexts are looked up in the order of documents.
-
-Anchors that occur more than HOT times don't meet in one range: each run reduces their windows to
-the first occurrence, and window digests spread them over all ranges.
+A suffix is sorted by its anchor's hash, the bytes from the anchor on (right), then the bytes before
+it, backwards (left). Tasks sort the suffixes of their documents into runs, front-coded (shared
+prefix length and rest), cut by ranges of the anchor hash, and exchange them. A loser tree merges
+the runs of a range; it carries every contender's common prefix with the last output and so compares
+no known prefix twice. Repeats are read off these common prefixes: neighbours that share everything
+are one context, and two suffixes of an anchor share a window if the common prefixes of their rights
+and of their lefts add up to its length. The earliest place of each window is its source.
+
+Anchors that occur more than HOT times would bring too many contexts to one range. For these every
+window is a suffix of its own, spread over all ranges by a hash of the window; among them, neighbours
+that share a whole window are repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -31,8 +33,12 @@ from breachline.llm.common import broadcast_if_small, materialise, ship_code, sh
 
 WIDTH, GRAM = 100, 28
 HOT = 50_000
-#: Suffixes that a task sorts at a time, and that a range gets (expected).
-RUN, RANGE = 60_000, 100_000
+#: Bytes (of keys, with what Python adds) that a task sorts at a time; suffixes that a range gets (expected).
+RUN_BYTES, RANGE = 24 << 20, 60_000
+#: Removed ranges that a task holds before it sends them on.
+HELD = 20_000
+#: Suffixes of one anchor that are compared pair by pair; more are settled by blocks of common prefixes.
+FEW = 12
 SMALL_ROWS = 300_000
 LAST = (1 << 63) - 1
 _PIECE = 1 << 19
@@ -94,7 +100,7 @@ def scan(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> Iterator[t
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (x for b in batches for x in bytescan.slices(b, 1)):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for i, h, a, _, _ in _joined(scan(batch.column(1).cast(pa.binary()).to_pylist()), ids):
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(i), pa.array(a.astype(np.int32))], names=["gram", "did", "pos"])
@@ -143,7 +149,7 @@ class LoserTree:
     from there on, and the loser then knows its common prefix with the winner.
     """
 
-    def __init__(self, runs: list[list[tuple[int, bytes, object]]]):
+    def __init__(self, runs: list[Iterable[tuple[int, bytes, object]]]):
         self.runs = [iter(r) for r in runs]
         self.n = 1
         while self.n < max(1, len(runs)):
@@ -202,42 +208,95 @@ class LoserTree:
             self.top = win
 
 
-def _window_spans(context: bytes, start: int, covered: list[bool], width: int) -> Iterator[tuple[int, int]]:
-    """Byte ranges under the covered windows; window j starts at start + j."""
-    at = None
-    for j, on in enumerate([*covered, False]):
-        if on and at is None:
-            at = j
-        elif not on and at is not None:
-            yield start + at, start + j - 1 + width
-            at = None
-
-
-def _windows(context: bytes, width: int) -> list[bytes]:
-    return [context[j : j + width] for j in range(len(context) - width + 1)]
-
-
-def meet(group: list[tuple[bytes, bytes, Place]], width: int = WIDTH) -> Iterator[tuple[int, int, int, int]]:
-    """Removed ranges (document, text hash, start, end) among the suffixes of one anchor: (right, left, place)."""
-    first: dict[tuple[bytes, bytes], Place] = {}
-    for right, left, place in group:
-        best = first.get((right, left))
-        if best is None:
-            first[right, left] = place
-        elif place != best:
-            if place < best:
-                first[right, left], place = place, best
-            yield place[0], place[1], place[2] - len(left), place[2] + len(right)
-    if len(first) < 2:
-        return
-    order = sorted((place, left, right) for (right, left), place in first.items())
-    seen: set[bytes] = set()
-    for place, left, right in order:
-        own = _windows(left + right, width)
-        covered = [w in seen for w in own]
-        seen.update(own)
-        for start, end in _window_spans(left + right, place[2] - len(left), covered, width):
-            yield place[0], place[1], start, end
+ANCHOR, WINDOW = b"\0", b"\1"
+_HEAD = 9  # tag and hash
+
+
+def context_key(gram: int, right: bytes, left: bytes) -> bytes:
+    """Tag, anchor hash, right, left backwards, length of right: equal keys are equal contexts."""
+    return b"".join((ANCHOR, gram.to_bytes(8, "big"), right, left[::-1], len(right).to_bytes(2, "big")))
+
+
+def window_key(window: bytes) -> bytes:
+    return WINDOW + hashlib.blake2b(window, digest_size=8).digest() + window
+
+
+def _sides(key: bytes) -> tuple[int, int]:
+    """Bytes before and after the place of a suffix that its key covers."""
+    if key[:1] == WINDOW:
+        return 0, len(key) - _HEAD
+    right = int.from_bytes(key[-2:], "big")
+    return len(key) - _HEAD - 2 - right, right
+
+
+def _span(key: bytes, place: Place) -> tuple[int, int, int, int]:
+    left, right = _sides(key)
+    return place[0], place[1], place[2] - left, place[2] + right
+
+
+def _pairwise(group: list[list], width: int) -> Iterator[tuple[int, int, int, int]]:
+    """Removed ranges among a few contexts of one anchor, each [key, place, prefix shared with the one before]."""
+    sides = [_sides(key) for key, _, _ in group]
+    lefts = [key[_HEAD + right : -2] for (key, _, _), (_, right) in zip(group, sides, strict=True)]
+    for i in range(len(group)):
+        low = width + max(r for _, r in sides)
+        for k in range(i + 1, len(group)):
+            low = min(low, group[k][2] - _HEAD)
+            right = min(low, sides[i][1], sides[k][1])
+            if right + min(sides[i][0], sides[k][0]) < width:
+                continue
+            left = common_prefix(lefts[i], lefts[k], 0)
+            if left + right >= width:
+                d, t, at = max(group[i][1], group[k][1])
+                yield d, t, at - left, at + right
+
+
+def _by_blocks(group: list[list], width: int) -> Iterator[tuple[int, int, int, int]]:
+    """The same for many contexts: windows that start j bytes before the anchor are equal where neither order of
+    contexts, by rights or by lefts, has a neighbour that shares less than the window needs."""
+    m = len(group)
+    group = [group[0][:2] + [0], *group[1:]]
+    nl, nr = np.array([_sides(key) for key, _, _ in group]).T
+    lefts = [key[_HEAD + r : -2] for (key, _, _), r in zip(group, nr.tolist(), strict=True)]
+    by_left = sorted(range(m), key=lefts.__getitem__)
+    shared_left = np.array([0] + [common_prefix(lefts[a], lefts[b], 0) for a, b in zip(by_left, by_left[1:], strict=False)])
+    shared_right = np.array([x[2] - _HEAD for x in group])
+    by_place = np.array(sorted(range(m), key=lambda i: group[i][1]))
+    covered = np.zeros((m, int(nl.max()) + 1), dtype=bool)
+    for j in range(covered.shape[1]):
+        block = np.cumsum(shared_right < width - j)
+        other = np.empty(m, dtype=np.int64)
+        other[by_left] = np.cumsum(shared_left < j)
+        have = by_place[(nl[by_place] >= j) & (nr[by_place] >= width - j)]
+        first = np.unique(block[have] * (m + 1) + other[have], return_index=True)[1]
+        later = np.ones(len(have), dtype=bool)
+        later[first] = False
+        covered[have[later], j] = True
+    edge = np.diff(np.pad(covered, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    for (i, low), (_, high) in zip(np.argwhere(edge == 1).tolist(), np.argwhere(edge == -1).tolist(), strict=True):
+        d, t, at = group[i][1]
+        yield d, t, at - high + 1, at - low + width
+
+
+def repeats(merged: Iterable[tuple[int, bytes, Place]], width: int = WIDTH) -> Iterator[tuple[int, int, int, int]]:
+    """Removed ranges (document, text hash, start, end) of a sorted stream of (prefix shared with the one before, key, place)."""
+    group: list[list] = []
+
+    def settled() -> Iterator[tuple[int, int, int, int]]:
+        if len(group) > 1:
+            yield from (_pairwise if len(group) <= FEW else _by_blocks)(group, width)
+
+    for shared, key, place in merged:
+        if group and shared == len(key) == len(group[-1][0]):
+            place, group[-1][1] = max(place, group[-1][1]), min(place, group[-1][1])
+            if place != group[-1][1]:
+                yield _span(key, place)
+            continue
+        if shared < _HEAD or key[:1] == WINDOW:
+            yield from settled()
+            group = []
+        group.append([key, place, shared])
+    yield from settled()
 
 
 def _merged(ranges: Iterable[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -262,58 +321,69 @@ def _run_batch(bodies: list[tuple[int, bytes]], ranges: list[tuple[int, int, int
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "body", "did", "tie", "s", "e"])
 
 
+_COLUMNS = (("shared", "<u2"), ("rest", "<u2"), ("did", "<i8"), ("tie", "<i8"), ("pos", "<i4"))
+
+
+def packed(run: list[tuple[int, bytes, Place]]) -> bytes:
+    """A front-coded run as bytes: its length, columns of numbers, the rests of the keys."""
+    columns = ([x[0] for x in run], [len(x[1]) for x in run], *([x[2][k] for x in run] for k in range(3)))
+    return b"".join([len(run).to_bytes(4, "little"), *(np.array(c, dtype=t).tobytes() for c, (_, t) in zip(columns, _COLUMNS, strict=True)), *(x[1] for x in run)])
+
+
+def unpacked(body: bytes, step: int = 256) -> Iterator[tuple[int, bytes, Place]]:
+    """The run again, decoded as it is read."""
+    n, at, columns = int.from_bytes(body[:4], "little"), 4, []
+    for _, kind in _COLUMNS:
+        columns.append(np.frombuffer(body, dtype=kind, count=n, offset=at))
+        at += columns[-1].nbytes
+    for low in range(0, n, step):
+        for shared, rest, *place in zip(*(c[low : low + step].tolist() for c in columns), strict=True):
+            yield shared, body[at : at + rest], tuple(place)
+            at += rest
+
+
 def _runs(buckets: int, width: int = WIDTH, gram: int = GRAM):
     """Rows (did, tie, text, positions; those of hot anchors as -1 - position) to sorted front-coded runs."""
 
-    def flush(first: dict, hot: dict, gone: list) -> pa.RecordBatch:
-        cut: dict[int, list] = defaultdict(list)
-        for (g, right, left), place in first.items():
-            cut[g * buckets >> 64].append((g.to_bytes(8, "big") + right, (left, place)))
-        windows: dict[int, list] = defaultdict(list)
-        for digest, place in hot.items():
-            windows[int.from_bytes(digest[:8], "big") * buckets >> 64].append((digest, place))
-        bodies = []
-        for b in {*cut, *windows}:
-            run = sorted(cut.get(b, ()))
-            bodies.append((b, pickle.dumps((front_code(run), windows.get(b, [])), protocol=5)))
-        return _run_batch(bodies, _merged(gone), buckets)
+    def flush(held: list[tuple], gone: list) -> pa.RecordBatch:
+        held.sort()
+        runs: dict[int, list] = defaultdict(list)
+        last: dict[int, bytes] = {}
+        for key, *place in held:
+            b = int.from_bytes(key[1:_HEAD], "big") * buckets >> 64
+            before = last.get(b, b"")
+            shared = common_prefix(before, key, 0)
+            if shared == len(key) == len(before):  # the same context starts earlier
+                gone.append(_span(key, place))
+            else:
+                runs[b].append((shared, key[shared:], place))
+                last[b] = key
+        return _run_batch([(b, packed(r)) for b, r in runs.items()], _merged(gone), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: dict[tuple[int, bytes, bytes], Place] = {}
-        hot: dict[bytes, Place] = {}
-        gone: list[tuple[int, int, int, int]] = []
-        for batch in batches:
+        held: list[tuple] = []
+        size = 0
+        for batch in (x for b in batches for x in bytescan.slices(b, 2)):
             dids, ties, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             for i, h, a, lo, hi in scan(texts, width, gram):
-                at = np.array(marks[i].values, dtype=np.int64)
-                burning = -1 - at[at < 0]
+                at = np.asarray(marks[i].values, dtype=np.int64)
+                hot = set((-1 - at[at < 0]).tolist())
                 pick = np.isin(a, np.where(at < 0, -1 - at, at))
                 text, d, t = texts[i], dids[i], ties[i]
-                hot_here = set(burning.tolist())
                 for g, p, s0, s1 in zip(h[pick].tolist(), a[pick].tolist(), lo[pick].tolist(), hi[pick].tolist(), strict=True):
-                    if p in hot_here:
-                        covered = []
-                        for j in range(s0, s1 + 1):
-                            w, place = hashlib.blake2b(text[j : j + width], digest_size=16).digest(), (d, t, j)
-                            best = hot.setdefault(w, place)
-                            if place < best:
-                                hot[w], best = place, best
-                                gone.append((best[0], best[1], best[2], best[2] + width))
-                            covered.append(place > best)
-                        gone.extend((d, t, s, e) for s, e in _window_spans(b"", s0, covered, width))
-                        continue
-                    key, place = (g, text[p : s1 + width], text[s0:p]), (d, t, p)
-                    best = first.setdefault(key, place)
-                    if place != best:
-                        if place < best:
-                            first[key], place = place, best
-                        gone.append((place[0], place[1], place[2] - len(key[2]), place[2] + len(key[1])))
-                if len(first) >= RUN or len(hot) >= 4 * RUN:
-                    yield flush(first, hot, gone)
-                    first, hot, gone = {}, {}, []
-        if first or hot or gone:
-            yield flush(first, hot, gone)
+                    if p in hot:
+                        held += [(window_key(text[s : s + width]), d, t, s) for s in range(s0, s1 + 1)]
+                        size += 320 * (s1 + 1 - s0)
+                    else:
+                        key = context_key(g, text[p : s1 + width], text[s0:p])
+                        held.append((key, d, t, p))
+                        size += len(key) + 220
+                    if size >= RUN_BYTES:
+                        yield flush(held, [])
+                        held, size = [], 0
+        if held:
+            yield flush(held, [])
 
     return run
 
@@ -321,54 +391,42 @@ def _runs(buckets: int, width: int = WIDTH, gram: int = GRAM):
 def _merge(width: int = WIDTH):
     """Sorted rows of RUN_ROWS, bucket by bucket, to removed ranges."""
 
-    def settle(bodies: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
-        loaded = [pickle.loads(b) for b in bodies]
-        group: list[tuple[bytes, bytes, Place]] = []
-        for shared, key, (left, place) in LoserTree([r for r, _ in loaded if r]):
-            if shared < 8 and group:
-                yield from meet(group, width)
-                group = []
-            group.append((key[8:], left, place))
-        yield from meet(group, width)
-        best: dict[bytes, Place] = {}
-        for _, windows in loaded:
-            for digest, place in windows:
-                old = best.setdefault(digest, place)
-                if place != old:
-                    if place < old:
-                        best[digest], place = place, old
-                    yield place[0], place[1], place[2], place[2] + width
+    def out(ranges: list) -> pa.RecordBatch:
+        rows = _merged(ranges)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["did", "tie", "s", "e"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int]]:
         now, bodies = None, []
-
-        def out(ranges: list) -> pa.RecordBatch:
-            rows = _merged(ranges)
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["did", "tie", "s", "e"])
-
         for batch in batches:
-            passed = []
             for row in range(batch.num_rows):
                 bucket, body = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 if bucket != now and bodies:
-                    yield out(settle(bodies))
+                    yield from repeats(LoserTree([unpacked(b) for b in bodies]), width)
                     bodies = []
                 now = bucket
                 if body is None:
-                    passed.append(tuple(batch.column(k)[row].as_py() for k in range(2, 6)))
+                    yield tuple(batch.column(k)[row].as_py() for k in range(2, 6))
                 else:
                     bodies.append(body)
-            if passed:
-                yield out(passed)
         if bodies:
-            yield out(settle(bodies))
+            yield from repeats(LoserTree([unpacked(b) for b in bodies]), width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for r in found(batches):
+            held.append(r)
+            if len(held) >= HELD:
+                yield out(held)
+                held = []
+        if held:
+            yield out(held)
 
     return run
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, whole, ranges) to the texts that stay."""
-    for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
+    for batch in (x for b in batches for x in bytescan.slices(b, 1)):
         rows = []
         for text, whole, ranges in zip(batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3), strict=True):
             text = text.as_py() or b""
@@ -404,22 +462,47 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = materialise(whole.join(firsts, ["tie", "tie2", "n"]).filter(F.col("did") > F.col("first")).select("did", "tie").distinct(), "copies")
     copies = broadcast_if_small(copies, SMALL_ROWS)
     sources = long_.join(copies, ["did", "tie"], "left_anti")
-    found = sources.select("did", "text").mapInArrow(_anchor_rows, "gram bigint, did bigint, pos int").repartition(shuffle_parts(spark), "gram")
-    # the same columns on both sides of the join, so that one exchange serves both
-    shared = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("did").alias("d"), F.min("pos").alias("p")).filter("n > 1 AND d IS NOT NULL AND p >= 0").select("gram", "n")
-    pos = F.when(F.col("n") > hot, -1 - F.col("pos")).otherwise(F.col("pos"))
-    marked = found.hint("shuffle_hash").join(shared.hint("shuffle_hash"), "gram").select("did", pos.alias("pos")).groupBy("did").agg(F.collect_list("pos").alias("marks"), F.count("*").alias("n"))
-    marked = materialise(marked, "anchors")
+    found = sources.select("did", "text").mapInArrow(_anchor_rows, "gram bigint, did bigint, pos int")
+    shared = materialise(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "grams")
+    hot_grams = shared.filter(F.col("n") > hot).select("gram", F.lit(True).alias("hot"))
+    if hot_grams.isEmpty():
+        found = found.withColumn("hot", F.lit(None).cast("boolean"))
+    else:
+        found = found.join(broadcast_if_small(hot_grams, SMALL_ROWS), "gram", "left")
+    # hot anchors are shared anyway: they are spread, and don't meet in the task of their gram
+    key = F.when(F.col("hot"), F.xxhash64("did", "pos")).otherwise(F.col("gram"))
+    cold = shared.filter(F.col("n") <= hot).select(F.col("gram").alias("key"), F.lit(True).alias("cold"))
+    marked = found.withColumn("key", key).join(cold.hint("shuffle_hash"), "key", "left").filter("hot OR cold")
+    marked = marked.select("did", F.when(F.col("hot"), -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos"))
+    marked = materialise(marked.groupBy("did").agg(F.collect_list("pos").alias("marks"), F.count("*").alias("n")), "anchors")
     total = marked.agg(F.sum("n")).first()[0] or 0
     buckets = max(4 * shuffle_parts(spark), -(-total // RANGE))
     runs = sources.join(marked.select("did", "marks"), "did").select("did", "tie", "text", "marks").mapInArrow(_runs(buckets), RUN_ROWS)
     exchanged = runs.repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket")
     ranges = exchanged.mapInArrow(_merge(), "did bigint, tie bigint, s int, e int")
     ranges = materialise(ranges.groupBy("did", "tie").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "ranges")
-    marks = docs.join(copies.withColumn("whole", F.lit(True)), ["did", "tie"], "left").join(broadcast_if_small(ranges, SMALL_ROWS), ["did", "tie"], "left")
+    marks = docs.join(copies.withColumn("whole", F.lit(True)), ["did", "tie"], "left").join(broadcast_if_small(ranges, SMALL_ROWS, F.size("ranges")), ["did", "tie"], "left")
     return marks.select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges").mapInArrow(_removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
 def digest(result: DataFrame) -> DataFrame:
     kept: Column = F.sha2("kept", 256)
     return result.select("doc_id", "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"))
+
+
+#: Windows are told apart by MD5, so that none is kept whole.
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT doc_id, unnest(places) AS s, unnest(list_transform(places, lambda s: md5_number(substr(x, 2 * s + 1, 200)))) AS win FROM (SELECT doc_id, x, range(0, greatest(length(x) // 2 - 99, 0)) AS places FROM d)),
+k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS k FROM p),
+i AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM k WHERE k > 1)),
+r AS (SELECT doc_id, min(s) AS s, max(s) + 100 AS e FROM i GROUP BY doc_id, island),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed FROM r GROUP BY doc_id),
+g AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS b FROM r
+  UNION ALL SELECT doc_id, coalesce(max(e), 0), max(length(x) // 2) FROM d LEFT JOIN r USING (doc_id) GROUP BY doc_id
+), h AS (SELECT doc_id, string_agg(substr(x, (2 * a + 1)::BIGINT, (2 * (b - a))::BIGINT), '' ORDER BY a) AS kept FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

@@ -142,6 +142,33 @@ def test_loser_tree():
     assert all(s == suffix_dedup.common_prefix(a, b, 0) for (_, a, _), (s, b, _) in itertools.pairwise(out))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_repeats_by_common_prefixes(seed):
+    """Contexts of one anchor, a few and many: pairs and blocks of common prefixes agree with a set of windows."""
+    r = random.Random(seed)
+    width, gram = 20, b"GRAM"
+    side = ["".join(r.choice("ab") for _ in range(16)).encode() for _ in range(4)]
+    vary = lambda b: b if r.random() < 0.5 else b[: (k := r.randrange(16))] + r.choice([b"c", b"d"]) + b[k + 1 :]
+    rows = []
+    for d in range([2, 8, 12, 13, 60, 200][seed]):
+        left, right = vary(r.choice(side))[r.randint(0, 16) :], gram + vary(r.choice(side))[: r.randint(0, 16)]
+        if len(left) + len(right) >= width:
+            rows.append((suffix_dedup.context_key(7, right, left), (d, 0, 50), left, right))
+    tree = suffix_dedup.LoserTree([suffix_dedup.unpacked(suffix_dedup.packed([(s, k, p) for s, k, p in suffix_dedup.front_code([x[:2] for x in sorted(rows[i::3])])])) for i in range(3)])
+    got = defaultdict(set)
+    for d, _, s, e in suffix_dedup.repeats(tree, width):
+        got[d] |= set(range(s, e))
+    want, seen = defaultdict(set), set()
+    for _, (d, _, at), left, right in sorted(rows, key=lambda x: x[1]):
+        for j in range(len(left) + 1):
+            window = (left[len(left) - j :] + right)[:width]
+            if len(window) == width:
+                if (j, window) in seen:
+                    want[d] |= set(range(at - j, at - j + width))
+                seen.add((j, window))
+    assert got == want
+
+
 def test_classifier(spark, empty):
     r = random.Random(6)
     good = [(i, " ".join(prose(r, 12).capitalize() + "." for _ in range(r.randint(4, 20)))) for i in range(150)]
