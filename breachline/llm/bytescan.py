@@ -66,7 +66,7 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
+def pieces(text: bytes) -> Iterator[bytes]:
     """text in pieces of about CHUNK bytes, cut where a word ends."""
     at = 0
     while len(text) - at > 2 * CHUNK:
@@ -81,7 +81,7 @@ def _pieces(text: bytes) -> Iterator[bytes]:
 def word_hashes(text: bytes, table: np.ndarray = BYTE_LOWER) -> np.ndarray:
     """A 64-bit hash for each word of text."""
     found = []
-    for piece in _pieces(text):
+    for piece in pieces(text):
         buf = np.frombuffer(piece, dtype=np.uint8)
         start, end = word_spans(buf)
         found.append(span_hashes(prefix_hashes(table[buf]), start, end))

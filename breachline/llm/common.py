@@ -76,3 +76,20 @@ def broadcast_if_small(df: DataFrame, rows: int, weight: Column | None = None) -
     if weight is not None:
         return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= rows else df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def keyed_join(rows: DataFrame, table: DataFrame, key: str, often: str, small: int, most: int = 50_000) -> DataFrame:
+    """rows joined with a materialised table that is unique by key; ``often`` says how many rows a key meets.
+
+    A small table is broadcast. Else its keys of more than ``most`` rows are (there are few), so that
+    no key brings more than that to one task.
+    """
+    sent = broadcast_if_small(table, small)
+    if sent is not table:
+        return rows.join(sent, key)
+    heavy = table.filter(F.col(often) > most)
+    if heavy.isEmpty():
+        return rows.join(table, key)
+    heavy = broadcast_if_small(heavy, small)
+    light = rows.join(heavy.select(key), key, "left_anti")
+    return rows.join(heavy, key).unionByName(light.join(table.filter(F.col(often) <= most), key))

@@ -1,22 +1,30 @@
-"""Line dedup by a tree of log templates, in DataFrame operations.
+"""Line dedup by a tree of log templates.
 
 A line falls through a tree: first by its number of tokens, then by the words of one of BLOCKS
 stretches of it. Tokens that hold a digit are variable from the start. Lines that vary in at most
 FIELDS tokens share at least one stretch, so they meet in some leaf. There tokens are counted by
 position, and the rarest 1, 2, .. FIELDS tokens of a line (at most SHARE of it) are variable by
-turns, wherever they stand; each choice is a template, a plain hash of what is left.
+turns, wherever they stand; each choice is a template, told by its fixed tokens and their places.
 
 A template that occurs in at least ``min_docs`` documents is boilerplate, and so is a line of one word
 or more that occurs as it is in EXACT_DOCS: the first occurrence (the smallest id) stays, and later
 documents lose the line.
+
+Keys of lines and leaves are made in Arrow batches; counting them is Spark's. A leaf that holds more
+than CELLS tokens is not brought to one task: its tokens are counted and ranked by aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from breachline.llm.common import BLANKS, broadcast_if_small, materialise, words
+from breachline.llm import bytescan
+from breachline.llm.common import broadcast_if_small, keyed_join, materialise, ship_code, shuffle_parts
 
 #: Tokens of a line that may vary besides those with digits, in number and as a share; one stretch more than that.
 FIELDS, SHARE = 4, 0.4
@@ -26,127 +34,248 @@ LEAST = 3
 #: Documents that share a generalised template, and those that share the words of a line as they are.
 MIN_DOCS = 3
 EXACT_DOCS = 2
-#: Kinds of keys: masked whole lines, words as they are, leaves.
+#: Kinds of keys, in their last two bits: masked whole lines, words as they are, leaves.
 WHOLE, EXACT, LEAF = 0, 1, 2
 #: Tables of at most this many rows (of some dozen bytes) are broadcast, larger ones shuffled.
 SMALL_ROWS = 500_000
-
-
-def _once(value: Column, then) -> Column:
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
-def _marked(key: Column, kind: int) -> Column:
-    return key.bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(kind))
-
-
-def _masked(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
-
-
-def template_keys(line: Column) -> Column:
-    """The hashes of the templates and leaves that the line falls under, their kind in the last bits; none for lines without words."""
-
-    def keys(tokens: Column) -> Column:
-        n = F.size(tokens)
-        masked = F.when(line.rlike("[0-9]"), _masked(tokens)).otherwise(tokens)
-        exact = _marked(F.xxhash64(F.lit(-2), F.array_join(tokens, " ")), EXACT)
-
-        def of(m: Column) -> Column:
-            blocks = F.least(n, F.lit(BLOCKS))
-
-            def leaf(k: Column) -> Column:
-                low, high = F.floor(n * k / blocks), F.floor(n * (k + 1) / blocks)
-                return _marked(F.xxhash64(n, k, F.array_join(F.slice(m, (low + 1).cast("int"), (high - low).cast("int")), " ")), LEAF)
-
-            whole = _marked(F.xxhash64(F.lit(-1), n, F.array_join(m, " ")), WHOLE)
-            return F.when(n >= LEAST, F.concat(F.array(exact, whole), F.transform(F.sequence(F.lit(0), blocks - 1), leaf))).otherwise(F.array(exact))
-
-        return F.when(n > 0, _once(masked, of)).otherwise(F.array().cast("array<bigint>"))
-
-    return _once(words(line), keys)
-
-
-def _row(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
-
-
-def _fields(open_: DataFrame, own: DataFrame, min_docs: int) -> DataFrame:
-    """row, line: the lines among open_ (row, doc_id, line, leaf, low, high, n) that templates with variable fields drop.
-
-    low, high and n are the first and last document of the words of the line and their number.
-    """
-    spots = open_.select("row", "line").distinct()
-    at = F.get(_lines(F.col("text")), F.col("line"))
-    texts = spots.join(own.select("row", "text").dropDuplicates(["row"]), "row").select("row", "line", F.transform(_masked(words(at)), lambda t: F.xxhash64(t)).alias("tokens"))
-    texts = materialise(texts, "line-open")
-    each = open_.select("row", "line", "leaf").join(texts, ["row", "line"]).select("row", "line", "leaf", F.posexplode("tokens").alias("pos", "token"))
-    counts = materialise(each.groupBy("leaf", "pos", "token").agg(F.count("*").alias("often")), "line-counts")
-    ranked = each.join(broadcast_if_small(counts, SMALL_ROWS), ["leaf", "pos", "token"])
-    ranked = ranked.groupBy("row", "line", "leaf").agg(F.sort_array(F.collect_list(F.struct("often", "pos", "token"))).alias("t"))
+#: Tokens of a leaf that one task may hold.
+CELLS = 2_000_000
+_U = np.uint64
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[ord("0") : ord("9") + 1] = True
+_VARIABLE = _U(0x5DEECE66D1234567)
+_STEP = _U(0x9E3779B97F4A7C15)
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word, the same with one value for words that hold a digit, and the line (from 0) it stands in."""
+    plain, masked, line, newlines = [], [], [], 0
+    for piece in bytescan.pieces(text):
+        buf = np.frombuffer(piece, dtype=np.uint8)
+        start, end = bytescan.word_spans(buf)
+        h = bytescan.span_hashes(bytescan.prefix_hashes(bytescan.BYTE[buf]), start, end)
+        digits = np.concatenate(([0], np.cumsum(_DIGIT[buf])))
+        breaks = np.flatnonzero(buf == 10)
+        plain.append(h)
+        masked.append(np.where(digits[end] > digits[start], _VARIABLE, h))
+        line.append(np.searchsorted(breaks, start) + newlines)
+        newlines += len(breaks)
+    return np.concatenate(plain), np.concatenate(masked), np.concatenate(line)
+
+
+def _kind(keys: np.ndarray, kind: int) -> np.ndarray:
+    return (bytescan.mix(keys) & ~_U(3)) | _U(kind)
+
+
+def line_keys(text: bytes, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Lines (from 0) and keys: words as they are, the template with digits masked, and one leaf per stretch."""
+    plain, masked, line = _words(text)
+    if not len(line):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    start = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    end = np.append(start[1:], len(line))
+    n, number = end - start, line[start]
+    c, cm = bytescan.prefix_hashes(plain), bytescan.prefix_hashes(masked)
+    at, keys = [number], [_kind(bytescan.span_hashes(c, start, end), EXACT)]
+    long = n >= least
+    start, end, n, number = start[long], end[long], n[long], number[long]
+    at.append(number)
+    keys.append(_kind(bytescan.span_hashes(cm, start, end) + _STEP, WHOLE))
+    blocks = np.minimum(n, BLOCKS)
+    for k in range(BLOCKS):
+        some = blocks > k
+        s, m, b = start[some], n[some], blocks[some]
+        stretch = bytescan.span_hashes(cm, s + m * k // b, s + m * (k + 1) // b)
+        at.append(number[some])
+        keys.append(_kind(stretch + (m.astype(np.uint64) * _U(BLOCKS) + _U(k + 2)) * _STEP, LEAF))
+    return np.concatenate(at), np.concatenate(keys)
+
+
+def _keys(least: int):
+    """Rows (doc_id, hash, text) to (doc_id, hash, line numbers, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in bytescan.slices(b, 2)):
+            texts = [b"" if t is None else t for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            # one buffer for all texts of the slice: the lines of a text are a range of its lines
+            lines, keys = line_keys(b"\n".join(texts), least)
+            order = np.argsort(lines, kind="stable")
+            lines, keys = lines[order], keys[order]
+            first = np.concatenate(([0], np.cumsum([t.count(b"\n") + 1 for t in texts])))
+            cut = np.searchsorted(lines, first)
+            own = lines - np.repeat(first[:-1], np.diff(cut))
+            offsets = pa.array(cut, pa.int32())
+            at = pa.ListArray.from_arrays(offsets, pa.array(own, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), at, pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))], names=["doc_id", "hash", "at", "keys"])
+
+    return run
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, hash, text, spots) to a row per spot, with a code for each token at its place."""
+    for batch in (x for b in batches for x in bytescan.slices(b, 2)):
+        rows, codes = [], []
+        for i, (text, spots) in enumerate(zip(batch.column(2).cast(pa.binary()), batch.column(3), strict=True)):
+            _, masked, line = _words(text.as_py())
+            for spot in spots.as_py():
+                low, high = np.searchsorted(line, [spot["line"], spot["line"] + 1])
+                rows.append((i, spot["line"], spot["leaf"], spot["n"], spot["words"]))
+                codes.append(bytescan.mix(masked[low:high] + np.arange(high - low, dtype=np.uint64) * _STEP).view(np.int64))
+        own, line, leaf, n, words = zip(*rows, strict=True) if rows else [()] * 5
+        pick = pa.array(own, pa.int64())
+        columns = [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(line, pa.int32()), pa.array(leaf, pa.int64()), pa.array(n, pa.int64()), pa.array(words, pa.int64()), pa.array(codes, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "line", "leaf", "n", "words", "codes"])
+
+
+def most_fields(tokens: int) -> int:
+    """How many tokens of a line of so many may vary."""
+    return min(FIELDS, max(1, int(tokens * SHARE)))
+
+
+def left_over(codes: np.ndarray) -> np.ndarray:
+    """Per line of a leaf (a row of codes) and v = 1, 2, ..: the exclusive or of the codes but the v rarest (ties by place)."""
+    _, number, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    often = counts[number.reshape(codes.shape)]
+    rare = np.argsort(often, axis=1, kind="stable")[:, : most_fields(codes.shape[1])]
+    gone = np.bitwise_xor.accumulate(np.take_along_axis(codes, rare, axis=1), axis=1)
+    return np.bitwise_xor.reduce(codes, axis=1)[:, None] ^ gone
+
+
+def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _codes, leaf by leaf, to rows (doc_id, hash, line, n, words, tokens, rest)."""
+    names = ["doc_id", "hash", "line", "n", "words", "tokens", "rest"]
+
+    def leaf(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        held = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        codes = held.column(6).flatten().to_numpy(zero_copy_only=False).reshape(held.num_rows, -1)
+        rest = left_over(codes)
+        again = pa.array(np.repeat(np.arange(held.num_rows), rest.shape[1]))
+        tokens = pa.array(np.full(rest.size, codes.shape[1], dtype=np.int32))
+        return pa.RecordBatch.from_arrays([*(held.column(k).take(again) for k in (0, 1, 2, 4, 5)), tokens, pa.array(rest.ravel())], names=names)
+
+    parts: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        leaves = batch.column(3).to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.concatenate(([True], leaves[1:] != leaves[:-1], [True])))
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if parts and leaves[s] != now:
+                yield leaf(parts)
+                parts = []
+            now = leaves[s]
+            parts.append(batch.slice(s, e - s))
+    if parts:
+        yield leaf(parts)
+
+
+def _templates_of_large(spots: DataFrame) -> DataFrame:
+    """The same rows for leaves that no task should hold."""
+    own = ["doc_id", "hash", "line", "leaf", "n", "words"]
+    each = spots.select(*own, F.posexplode("codes").alias("pos", "code"))
+    counts = materialise(each.groupBy("leaf", "code").agg(F.count("*").alias("often")), "line-counts")
+    ranked = each.join(broadcast_if_small(counts, SMALL_ROWS), ["leaf", "code"])
+    ranked = ranked.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("often", "pos", "code"))).alias("t"))
     n = F.size("t")
-
-    def without(v: Column) -> Column:
-        """The template with the v rarest tokens variable."""
-        left = F.array_sort(F.transform(F.slice("t", v + 1, n - v), lambda x: F.struct(x["pos"].alias("pos"), x["token"].alias("token"))))
-        return F.xxhash64(n, left)
-
     most = F.least(F.lit(FIELDS), F.greatest(F.lit(1), F.floor(n * SHARE))).cast("int")
-    keyed = ranked.select("row", "line", F.explode(F.transform(F.sequence(F.lit(1), most), without)).alias("key")).distinct()
-    keyed = materialise(keyed.join(open_.select("row", "line", "doc_id", "low", "high", "n").distinct(), ["row", "line"]), "line-keyed")
-    # a line of min_docs documents counts enough by itself; fewer are told by the first and the last
-    held = keyed.groupBy("key").agg(F.max("n").alias("n"), F.min("low").alias("first"))
-    docs = keyed.select("key", F.explode(F.array("low", "high")).alias("d")).distinct().groupBy("key").agg(F.count("*").alias("docs"))
-    shared = materialise(held.join(docs, "key").filter(F.greatest("n", "docs") >= min_docs).select("key", "first"), "line-fields")
-    return keyed.join(broadcast_if_small(shared, SMALL_ROWS), "key").filter(F.col("first") < F.col("doc_id")).select("row", "line").distinct()
-
-
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (hash of id and text), line (place from 0): the lines that later documents lose. Null ids and null texts lose none."""
+    rest = lambda v: F.aggregate(F.slice("t", v + 1, n - v), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["code"]))
+    return ranked.select("doc_id", "hash", "line", "n", "words", n.alias("tokens"), F.explode(F.transform(F.sequence(F.lit(1), most), rest)).alias("rest"))
+
+
+def _fields(spots: DataFrame, words: DataFrame, id_type: str, min_docs: int) -> DataFrame:
+    """doc_id, hash, line: the lines among spots that templates with variable fields drop; words has (words, doc_id)."""
+    spark = spots.sparkSession
+    sizes = spots.groupBy("leaf").agg(F.sum(F.size("codes").cast("long")).alias("cells")).filter(F.col("cells") > CELLS)
+    large = materialise(sizes.select("leaf"), "line-large-leaves")
+    small = spots.join(broadcast_if_small(large, SMALL_ROWS), "leaf", "left_anti").select(*spots.columns)
+    met = small.repartition(shuffle_parts(spark), "leaf").sortWithinPartitions("leaf")
+    rows = met.mapInArrow(_templates, f"doc_id {id_type}, hash bigint, line int, n bigint, words bigint, tokens int, rest bigint")
+    if not large.isEmpty():
+        rows = rows.unionByName(_templates_of_large(spots.join(broadcast_if_small(large, SMALL_ROWS), "leaf", "left_semi").select(*spots.columns)))
+    keyed = materialise(rows.select("doc_id", "hash", "line", "n", "words", F.xxhash64("tokens", "rest").alias("key")).distinct(), "line-keyed")
+    # a line of min_docs documents is enough by itself; those of fewer are told one by one
+    few = keyed.filter(F.col("n") < min_docs)
+    told = few.select("key", "doc_id").unionByName(few.filter("words IS NOT NULL").select("key", "words").join(words, "words").select("key", "doc_id"))
+    docs = told.distinct().groupBy("key").agg(F.count("*").alias("docs"))
+    held = keyed.groupBy("key").agg(F.max("n").alias("n"), F.min("doc_id").alias("first")).join(docs, "key", "left")
+    shared = held.filter(F.greatest(F.col("n"), F.coalesce("docs", F.lit(0))) >= min_docs)
+    shared = materialise(shared.select("key", "first"), "line-fields")
+    return keyed.join(broadcast_if_small(shared, SMALL_ROWS), "key").filter(F.col("first") < F.col("doc_id")).select("doc_id", "hash", "line").distinct()
+
+
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, hash (of the text), line (place from 0): the lines that later documents lose. Null ids and null texts lose none."""
+    id_type = docs.schema[id_col].dataType.simpleString()
     own = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    own = own.select(_row(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.transform(_lines(F.col(text_col)), template_keys).alias("keys"))
-    own = materialise(own, "line-keys")
-    # a template counts once per document, whatever the number of its lines there
-    each = own.select("doc_id", F.explode(F.array_distinct(F.flatten("keys"))).alias("key")).distinct()
-    least = F.when(F.col("key").bitwiseAND(3) == EXACT, min(EXACT_DOCS, min_docs)).otherwise(min_docs)
-    shared = each.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter(F.col("n") >= least)
-    shared = materialise(shared, "line-templates")
-    at = own.select("row", "doc_id", F.posexplode("keys").alias("line", "keys")).select("row", "doc_id", "line", F.explode("keys").alias("key"))
-    found = materialise(at.join(broadcast_if_small(shared, SMALL_ROWS), "key"), "line-found")
+    own = own.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    keys = materialise(own.mapInArrow(_keys(least), f"doc_id {id_type}, hash bigint, at array<int>, keys array<bigint>"), "line-keys")
+    # a template counts once per document: the rows of an id are put together, equal rows once
+    again = keys.groupBy("doc_id").agg(F.count("*").alias("rows")).filter(F.col("rows") > 1).select("doc_id")
+    again = broadcast_if_small(materialise(again, "line-repeated"), SMALL_ROWS)
+    several = keys.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "hash"])
+    single = keys.join(again, "doc_id", "left_anti")
+    own_keys = single.select("doc_id", F.array_distinct("keys").alias("keys"))
+    own_keys = own_keys.unionByName(several.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys")))
     kind = F.col("key").bitwiseAND(3)
-    lost = materialise(found.filter((kind != LEAF) & (F.col("first") < F.col("doc_id"))).select("row", "line").distinct(), "line-lost")
-    # one copy of each line goes on to the leaves, with the documents that its words stand in
-    words_ = found.filter(kind == EXACT).select("row", "line", "n", F.col("last").alias("high")).distinct()
-    leaves = found.filter(kind == LEAF).select("row", "doc_id", "line", F.col("key").alias("leaf")).distinct()
-    open_ = leaves.join(broadcast_if_small(lost, SMALL_ROWS), ["row", "line"], "left_anti").join(words_, ["row", "line"], "left")
-    open_ = open_.select("row", "doc_id", "line", "leaf", F.col("doc_id").alias("low"), F.coalesce("high", "doc_id").alias("high"), F.coalesce("n", F.lit(1)).alias("n"))
-    open_ = materialise(open_, "line-leaves")
+    enough = F.when(kind == EXACT, min(EXACT_DOCS, min_docs)).otherwise(min_docs)
+    shared = own_keys.select("doc_id", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("often"), F.min("doc_id").alias("first"))
+    # all lines of a template meet in some leaf, so that leaf has as many documents at least
+    shared = materialise(shared.filter(F.col("often") >= enough), "line-templates")
+    zipped = F.explode(F.arrays_zip("at", "keys")).alias("x")
+    at = single.unionByName(several).select("doc_id", "hash", zipped).select("doc_id", "hash", F.col("x.at").alias("line"), F.col("x.keys").alias("key"))
+    found = materialise(keyed_join(at, shared, "key", "often", SMALL_ROWS), "line-found")
+    lost = materialise(found.filter((kind != LEAF) & (F.col("first") < F.col("doc_id"))).select("doc_id", "hash", "line").distinct(), "line-lost")
+    # the first copy of each line goes on to the leaves, with the number of documents that its words stand in
+    spot = ["doc_id", "hash", "line"]
+    words = found.filter(kind == EXACT).select(*spot, F.col("key").alias("words"), F.col("often").alias("n"))
+    leaves = found.filter(kind == LEAF).select(*spot, F.col("key").alias("leaf"))
+    open_ = leaves.join(broadcast_if_small(lost, SMALL_ROWS), spot, "left_anti").join(words, spot, "left")
+    open_ = materialise(open_.select(*spot, "leaf", "words", F.coalesce("n", F.lit(1)).alias("n")), "line-leaves")
     # one line alone in its leaf has no template but its own words
     full = open_.groupBy("leaf").agg(F.count("*").alias("lines"), F.sum("n").alias("docs")).filter((F.col("lines") > 1) & (F.col("docs") >= min_docs))
-    full = materialise(full.select("leaf"), "line-full-leaves")
-    open_ = open_.join(broadcast_if_small(full, SMALL_ROWS), "leaf", "left_semi")
-    return lost.unionByName(_fields(open_, own, min_docs)).distinct()
-
-
-def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    open_ = open_.join(broadcast_if_small(materialise(full.select("leaf"), "line-full-leaves"), SMALL_ROWS), "leaf", "left_semi")
+    spots = open_.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("line", "leaf", "n", "words")).alias("spots"))
+    spots = materialise(spots, "line-spots")
+    texts = own.join(broadcast_if_small(spots, SMALL_ROWS, F.size("spots")), ["doc_id", "hash"])
+    # equal rows of an id hold the same lines
+    texts = texts.join(again, "doc_id", "left_anti").unionByName(texts.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "hash"]))
+    texts = texts.select("doc_id", "hash", "text", "spots").mapInArrow(_codes, f"doc_id {id_type}, hash bigint, line int, leaf bigint, n bigint, words bigint, codes array<bigint>")
+    told = words.filter(F.col("n") < min_docs).select("words", "doc_id").distinct()
+    return lost.unionByName(_fields(materialise(texts, "line-open"), told, id_type, min_docs)).distinct()
+
+
+def _cut(text: pa.Array, lost: pa.Array) -> pa.Array:
+    """Texts less the lines at lost places; empty where no line with a word is left. Null where nothing is lost."""
+    out = []
+    for t, places in zip(text, lost, strict=True):
+        if not places.is_valid:
+            out.append(None)
+            continue
+        gone = set(places.as_py())
+        kept = [x for i, x in enumerate(t.as_py().split("\n")) if i not in gone]
+        out.append("\n".join(kept) if any(x.strip(" \t\n\x0b\x0c\r") for x in kept) else "")
+    return pa.array(out, pa.string())
+
+
+def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows and columns of docs with text less its recurring lines, and n_lines, n_dropped.
 
-    Lines are split at ``\\n``. A document that loses no line keeps its text as it was, null too.
-    One that loses all lines with words has an empty text. Rows that repeat an id are one document
-    for counting; each loses its own lines. An empty table gives an
-    empty result. Columns named n_lines or n_dropped are replaced.
+    Lines are split at ``\\n``. Templates are for lines of ``least`` tokens and more, in at least
+    ``min_docs`` documents; shorter lines are dropped by their words as they are, from two documents on.
+    A document that loses no line keeps its text as it was, null too. One that loses all lines with
+    words has an empty text. Rows that repeat an id are one document for counting; each loses its own
+    lines. A null id loses nothing and counts for nothing. An empty table gives an empty result.
+    Columns named n_lines or n_dropped are replaced; other columns may have any names.
     """
-    lost = recurring(docs, min_docs, id_col, text_col).groupBy(F.col("row").alias("_lost_row")).agg(F.sort_array(F.collect_list("line")).alias("_lost"))
-    lost = materialise(lost, "lost-lines")
-    lines = _lines(F.col(text_col))
-    gone = F.coalesce("_lost", F.array().cast("array<int>"))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(gone, i))
-    left = F.when(F.exists(kept, lambda x: F.length(F.btrim(x, F.lit("".join(BLANKS)))) > 0), F.array_join(kept, "\n")).otherwise(F.lit(""))
-    text = F.when(F.size(gone) > 0, left).otherwise(F.col(text_col))
-    joined = docs.join(broadcast_if_small(lost, SMALL_ROWS), _row(id_col, text_col) == F.col("_lost_row"), "left")
-    counts = {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_dropped": F.size(gone).cast("long")}
-    return joined.select(*[(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in counts], *[v.alias(k) for k, v in counts.items()])
+    ship_code(docs.sparkSession)
+    lost = recurring(docs, min_docs, least, id_col, text_col).groupBy("doc_id", "hash").agg(F.collect_list("line").alias("lost"))
+    lost = broadcast_if_small(materialise(lost, "lost-lines"), SMALL_ROWS, F.size("lost"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"))
+    joined = rows.join(lost, ["doc_id", "hash"], "left")
+    text = F.col("row")[text_col]
+    cut = F.arrow_udf(_cut, "string")(F.when(F.col("lost").isNotNull(), text), F.col("lost"))
+    joined = joined.select("row", F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n"), cut.alias("cut"))
+    n_lines: Column = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    out = [(F.when(F.col("n") > 0, F.col("cut")).otherwise(text) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return joined.select(*out, n_lines.alias("n_lines"), F.col("n").alias("n_dropped"))

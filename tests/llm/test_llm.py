@@ -423,3 +423,67 @@ def test_line_fields(spark):
     got = {x.doc_id: (x.n_dropped, x.text) for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == (0, rows[0][1]) and all(got[i] == (3, "") for i in range(1, 8))
     assert all(got[20 + i] == (0, rows[8 + i][1]) for i in range(3))
+
+
+def brute_lines(rows, min_docs=3):
+    """Places of dropped lines per (id, text), by strings instead of hashes."""
+    lines, exact, whole, leaves = {}, defaultdict(set), defaultdict(set), defaultdict(list)
+    for i, t in {(i, t) for i, t in rows if i is not None and t is not None}:
+        for k, line in enumerate(t.split("\n")):
+            w = tuple(words(line))
+            if w:
+                m = tuple("<*>" if re.search("[0-9]", x) else x for x in w)
+                lines[i, t, k] = w, m
+                exact[w].add(i)
+                whole[m].add(i)
+    lost = {at for at, (w, m) in lines.items() if (len(exact[w]) > 1 and min(exact[w]) < at[0]) or (len(w) > 2 and len(whole[m]) >= min_docs and min(whole[m]) < at[0])}
+    for at, (w, m) in lines.items():
+        if at not in lost and len(w) > 2:
+            blocks = min(len(w), 5)
+            for b in range(blocks):
+                leaves[len(w), b, m[len(w) * b // blocks : len(w) * (b + 1) // blocks]].append((at, w, m))
+    held, first = defaultdict(set), {}
+    templates = defaultdict(set)
+    for own in leaves.values():
+        often = Counter((p, x) for _, _, m in own for p, x in enumerate(m))
+        for at, w, m in own:
+            order = sorted(range(len(m)), key=lambda p: (often[p, m[p]], p))
+            for v in range(1, min(4, max(1, int(len(m) * 0.4))) + 1):
+                key = len(m), frozenset((p, m[p]) for p in order[v:])
+                templates[at].add(key)
+                held[key] |= exact[w]
+                first[key] = min(first.get(key, at[0]), at[0])
+    lost |= {at for at, keys in templates.items() if any(len(held[k]) >= min_docs and first[k] < at[0] for k in keys)}
+    out = defaultdict(set)
+    for i, t, k in lost:
+        out[i, t].add(k)
+    return out
+
+
+@pytest.mark.parametrize("cells", [line_dedup.CELLS, 40])
+def test_lines_brute(spark, monkeypatch, cells):
+    """Against brute force: repeated and null ids, equal rows, fields anywhere, clashing names; large leaves by aggregates."""
+    monkeypatch.setattr(line_dedup, "CELLS", cells)
+    r = random.Random(5)
+    frames = [prose(r, n).split() for n in (1, 2, 3, 3, 4, 5, 6, 9, 12, 20)]
+    rows = []
+    for i in range(90):
+        lines = []
+        for _ in range(r.randint(1, 5)):
+            w = list(r.choice(frames))
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+                w[r.randrange(len(w))] = r.choice(["anna", "boris", "c7", "9", *WORDS])
+            lines.append(r.choice(["", " "]) + " ".join(w))
+        rows.append((r.choice([i, i % 40, None]), "\n".join(lines)))
+    rows += [rows[3], rows[4], rows[4], (7, None), (8, ""), (9, "\n \n"), (1000, " ".join(frames[9] * 3000))]
+    want = brute_lines(rows)
+    frame = spark.createDataFrame([(*x, 1, 2, 3, 4) for x in rows], "doc_id long, text string, lost int, hash int, row int, n_dropped int").repartition(3)
+    got = line_dedup.line_dedup(frame).collect()
+    cut = Counter()
+    for i, t in rows:
+        gone = want.get((i, t), set())
+        kept = [x for k, x in enumerate((t or "").split("\n")) if k not in gone]
+        text = t if not gone else "\n".join(kept) if any(map(words, kept)) else ""
+        cut[i, text, 0 if t is None else t.count("\n") + 1, len(gone)] += 1
+    assert Counter((x.doc_id, x.text, x.n_lines, x.n_dropped) for x in got) == cut
+    assert got[0].asDict().keys() == {"doc_id", "text", "lost", "hash", "row", "n_lines", "n_dropped"} and sum(map(len, want.values())) > 50
