@@ -20,6 +20,7 @@ that share a whole window are repeats.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -39,7 +40,7 @@ RUN_BYTES, RANGE = 24 << 20, 60_000
 HELD = 20_000
 #: Suffixes of one anchor that are compared pair by pair; more are settled by blocks of common prefixes.
 FEW = 12
-SMALL_ROWS = 300_000
+SMALL_ROWS, SMALL_RANGES = 300_000, 50_000
 LAST = (1 << 63) - 1
 _PIECE = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
@@ -325,13 +326,14 @@ _COLUMNS = (("shared", "<u2"), ("rest", "<u2"), ("did", "<i8"), ("tie", "<i8"),
 
 
 def packed(run: list[tuple[int, bytes, Place]]) -> bytes:
-    """A front-coded run as bytes: its length, columns of numbers, the rests of the keys."""
+    """A front-coded run as compressed bytes: its length, columns of numbers, the rests of the keys."""
     columns = ([x[0] for x in run], [len(x[1]) for x in run], *([x[2][k] for x in run] for k in range(3)))
-    return b"".join([len(run).to_bytes(4, "little"), *(np.array(c, dtype=t).tobytes() for c, (_, t) in zip(columns, _COLUMNS, strict=True)), *(x[1] for x in run)])
+    return zlib.compress(b"".join([len(run).to_bytes(4, "little"), *(np.array(c, dtype=t).tobytes() for c, (_, t) in zip(columns, _COLUMNS, strict=True)), *(x[1] for x in run)]), 1)
 
 
 def unpacked(body: bytes, step: int = 256) -> Iterator[tuple[int, bytes, Place]]:
     """The run again, decoded as it is read."""
+    body = zlib.decompress(body)
     n, at, columns = int.from_bytes(body[:4], "little"), 4, []
     for _, kind in _COLUMNS:
         columns.append(np.frombuffer(body, dtype=kind, count=n, offset=at))
@@ -363,15 +365,16 @@ def _runs(buckets: int, width: int = WIDTH, gram: int = GRAM):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        for batch in (x for b in batches for x in bytescan.slices(b, 2)):
+        for batch in (x for b in batches for x in bytescan.slices(b, 2, bytescan.CHUNK)):
             dids, ties, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            texts = [zlib.decompress(x) for x in batch.column(2).to_pylist()]
             for i, h, a, lo, hi in scan(texts, width, gram):
                 at = np.asarray(marks[i].values, dtype=np.int64)
                 hot = set((-1 - at[at < 0]).tolist())
                 pick = np.isin(a, np.where(at < 0, -1 - at, at))
                 text, d, t = texts[i], dids[i], ties[i]
-                for g, p, s0, s1 in zip(h[pick].tolist(), a[pick].tolist(), lo[pick].tolist(), hi[pick].tolist(), strict=True):
+                # the smallest hash of a window is a small number: mixed again, it spreads over the ranges
+                for g, p, s0, s1 in zip(bytescan.mix(h[pick]).tolist(), a[pick].tolist(), lo[pick].tolist(), hi[pick].tolist(), strict=True):
                     if p in hot:
                         held += [(window_key(text[s : s + width]), d, t, s) for s in range(s0, s1 + 1)]
                         size += 320 * (s1 + 1 - s0)
@@ -424,12 +427,19 @@ def _merge(width: int = WIDTH):
     return run
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, texts, compressed: texts are exchanged twice."""
+    for batch in (x for b in batches for x in bytescan.slices(b, b.num_columns - 1)):
+        texts = batch.column(batch.num_columns - 1).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([zlib.compress(x.as_py(), 1) for x in texts], pa.binary())], names=batch.schema.names)
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, whole, ranges) to the texts that stay."""
-    for batch in (x for b in batches for x in bytescan.slices(b, 1)):
+    for batch in (x for b in batches for x in bytescan.slices(b, 1, bytescan.CHUNK)):
         rows = []
-        for text, whole, ranges in zip(batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3), strict=True):
-            text = text.as_py() or b""
+        for text, whole, ranges in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            text = zlib.decompress(text.as_py())
             spans = [(0, 0, 0, len(text))] if whole.as_py() else _merged((0, 0, x["s"], x["e"]) for x in ranges.as_py() or ())
             kept, at = [], 0
             for _, _, s, e in spans:
@@ -477,11 +487,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = materialise(marked.groupBy("did").agg(F.collect_list("pos").alias("marks"), F.count("*").alias("n")), "anchors")
     total = marked.agg(F.sum("n")).first()[0] or 0
     buckets = max(4 * shuffle_parts(spark), -(-total // RANGE))
-    runs = sources.join(marked.select("did", "marks"), "did").select("did", "tie", "text", "marks").mapInArrow(_runs(buckets), RUN_ROWS)
+    zipped = sources.select("did", "tie", "text").mapInArrow(_zipped, "did bigint, tie bigint, text binary")
+    runs = zipped.join(marked.select("did", "marks"), "did").select("did", "tie", "text", "marks").mapInArrow(_runs(buckets), RUN_ROWS)
     exchanged = runs.repartition(shuffle_parts(spark), "bucket").sortWithinPartitions("bucket")
     ranges = exchanged.mapInArrow(_merge(), "did bigint, tie bigint, s int, e int")
     ranges = materialise(ranges.groupBy("did", "tie").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "ranges")
-    marks = docs.join(copies.withColumn("whole", F.lit(True)), ["did", "tie"], "left").join(broadcast_if_small(ranges, SMALL_ROWS, F.size("ranges")), ["did", "tie"], "left")
+    docs = docs.select("doc_id", "did", "tie", "text").mapInArrow(_zipped, "doc_id bigint, did bigint, tie bigint, text binary")
+    marks = docs.join(copies.withColumn("whole", F.lit(True)), ["did", "tie"], "left").join(broadcast_if_small(ranges, SMALL_RANGES, F.size("ranges")), ["did", "tie"], "left")
     return marks.select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges").mapInArrow(_removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
