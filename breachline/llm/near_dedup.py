@@ -9,9 +9,12 @@ most nodes of a corpus don't have, so the tables hold little but relatives.
 Sets that are equal are one node. In each bucket a hub (its smallest node) is compared with every
 other node, on full shingle sets of whole texts, and linked nodes become components. Buckets that
 still hold several components form families. In a family, every node outside the largest component
-is compared with all others, block by block, unless they agree in too few bands to be similar: so
-every pair of a bucket is settled, by comparison or by lying in one component, while the bulk of a
-group of copies, which its hub holds together, is never paired among itself.
+is compared with all others that share a bucket with it, block by block: so every pair of a bucket is
+settled, by comparison or by lying in one component, while the bulk of a group of copies, which its
+hub holds together, is never paired among itself.
+
+A bucket of more than HEAVY nodes is cut into parts with a hub each, and the hubs meet under one of
+them, so that no task holds it whole.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from breachline.llm import bytescan
-from breachline.llm.common import broadcast_if_small, materialise, ship_code, shuffle_parts
+from breachline.llm.common import broadcast_if_small, keyed_join, materialise, ship_code, shuffle_parts
 
 BANDS, ROWS = 16, 3
-#: A pair must agree in so many of its 2 * BANDS bands to be compared in full; at 0.8 all but one in 10^6 do.
-AGREE = 4
+#: Buckets whose bands both have more nodes are cut into PARTS.
+HEAVY, PARTS = 10_000, 64
 #: Nodes on either side that a task of the last comparison holds (expected).
 STRAYS, KIN = 250, 1000
 #: Tables of at most this many rows are broadcast to the texts, larger ones shuffled; the second kind carries bands.
@@ -160,30 +163,38 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(old.unionByName(new), "labels")
 
 
-def _agree(x: str, y: str) -> Column:
-    """Whether two arrays of bands are equal in AGREE places at least."""
-    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda e: e)) >= AGREE
-
-
-def _shared_bands(classes: DataFrame) -> DataFrame:
-    """node, left, right, li, ri: the bands (by index) that some other node has too; nodes without any on either side drop out."""
-    spark = classes.sparkSession
-    side = lambda name, k: F.transform(name, lambda a, i: F.struct(F.lit(k).alias("side"), i.alias("i"), a.alias("band")))
-    rows = classes.select("node", F.explode(F.concat(side("left", 0), side("right", 1))).alias("x")).select("node", "x.*").repartition(shuffle_parts(spark), "side", "i", "band")
-    common = rows.groupBy("side", "i", "band").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1 AND low IS NOT NULL").select("side", "i", "band")
-    own = rows.hint("shuffle_hash").join(common.hint("shuffle_hash"), ["side", "i", "band"], "left_semi").groupBy("node")
-    pick = lambda k: F.collect_list(F.when(F.col("side") == k, F.col("i")))
+def _shared_bands(classes: DataFrame, heavy: int) -> DataFrame:
+    """node, left, right, li, ri: the bands that some other node has too, (index, whether more than heavy nodes have it);
+    nodes without any on either side drop out."""
+    side = lambda name, k: F.transform(name, lambda a, i: F.struct((i + k * BANDS).alias("i"), a.alias("band")))
+    rows = classes.select("node", F.explode(F.concat(side("left", 0), side("right", 1))).alias("x")).select("node", "x.i", F.xxhash64("x.i", "x.band").alias("key"))
+    common = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-bands")
+    own = keyed_join(rows, common, "key", "n", SMALL_ROWS).groupBy("node")
+    pick = lambda k: F.collect_list(F.when(F.floor(F.col("i") / BANDS) == k, F.struct((F.col("i") - k * BANDS).alias("i"), (F.col("n") > heavy).alias("heavy"))))
     own = materialise(own.agg(pick(0).alias("li"), pick(1).alias("ri")).filter((F.size("li") > 0) & (F.size("ri") > 0)), "near-shared")
     return classes.select("node", "left", "right").join(own, "node")
 
 
-def bucket_pairs(classes: DataFrame) -> DataFrame:
-    """(hub, other): the hub of each bucket, its smallest node, with every other node of it; each pair once."""
+def bucket_pairs(classes: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """(hub, other): the hub of each bucket, its smallest node, with every other node of it; each pair once.
+
+    In a heavy bucket the smallest node of each part is a hub, and the hub of the others is the smallest of all.
+    """
     spark = classes.sparkSession
-    tensor = F.flatten(F.transform("li", lambda i: F.transform("ri", lambda j: F.xxhash64(i, F.get("left", i), j, F.get("right", j)))))
-    rows = _shared_bands(classes).select("node", F.explode(tensor).alias("key")).repartition(shuffle_parts(spark), "key")
-    low = F.min("node").over(Window.partitionBy("key"))
-    return materialise(rows.select(low.alias("hub"), F.col("node").alias("other")).filter("hub <> other").distinct(), "near-stars")
+
+    def key(x: Column, y: Column) -> Column:
+        i, j = x["i"], y["i"]
+        return F.struct(F.xxhash64(i, F.get("left", i), j, F.get("right", j)).alias("key"), (x["heavy"] & y["heavy"]).alias("heavy"))
+
+    tensor = F.flatten(F.transform("li", lambda x: F.transform("ri", lambda y: key(x, y))))
+    part = F.when(F.col("x.heavy"), F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")
+    rows = _shared_bands(classes, heavy).select("node", F.explode(tensor).alias("x")).select("node", "x.key", "x.heavy", part.alias("part")).repartition(shuffle_parts(spark), "key", "part")
+    stars = rows.select("key", "heavy", F.min("node").over(Window.partitionBy("key", "part")).alias("hub"), F.col("node").alias("other"))
+    # of heavy buckets the parts' hubs are kept with their key
+    stars = materialise(stars.select("hub", "other", F.when(F.col("heavy") & (F.col("hub") == F.col("other")), F.col("key")).alias("key")).filter("hub <> other OR key IS NOT NULL").distinct(), "near-parts")
+    hubs = stars.filter("key IS NOT NULL").select("key", F.col("hub").alias("other"))
+    tops = hubs.select(F.min("other").over(Window.partitionBy("key")).alias("hub"), "other").filter("hub <> other")
+    return materialise(stars.filter("hub <> other").select("hub", "other").unionByName(tops).distinct(), "near-stars")
 
 
 def _families(stars: DataFrame, labels: DataFrame) -> DataFrame:
@@ -220,13 +231,14 @@ def _settled(k: int, percent: int):
         at = np.concatenate(([0], np.cumsum(size)))
         n = len(hubs)
         kin_size, nodes, parts, stray = size[n:], np.array([r[1] for r in kin]), np.array([r[2] for r in kin]), np.array([r[3] for r in kin])
-        bands = np.array([r[4] for r in kin], dtype=np.int64)
+        bands = np.array([r[4] for r in kin], dtype=np.int64).reshape(len(kin), 2, BANDS)
         mark = np.zeros(tokens.max() + 1, dtype=np.int32)
         out = []
         for i, (_, node, part, _, own, _) in enumerate(hubs):
             mine = size[i]
             likely = (parts != part) & ~(stray & (nodes < node)) & (100 * np.minimum(kin_size, mine) >= percent * np.maximum(kin_size, mine))
-            likely = np.flatnonzero(likely & ((bands == np.array(own, dtype=np.int64)).sum(axis=1) >= AGREE))
+            met = (bands == np.array(own, dtype=np.int64).reshape(2, BANDS)).any(axis=2).all(axis=1)  # some bucket holds both
+            likely = np.flatnonzero(likely & met)
             if not len(likely):
                 continue
             mark[tokens[at[i] : at[i + 1]]] = 1
@@ -274,13 +286,17 @@ def _settle(families: DataFrame, bands: DataFrame, docs: DataFrame, k: int, perc
     return materialise(rows.mapInArrow(_settled(k, percent), "a bigint, b bigint"), "near-more")
 
 
-def near_dedup(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, k: int = 4, percent: int = 80, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     A-Z count as a-z; words are runs without blanks. A text of fewer than k words has one shingle;
     without words or text it has none and is linked with nothing. Rows that share a doc_id are
     variants of one document, linked if any of them is. A null id belongs to no component and is
     kept. An empty table gives an empty result; other columns of docs are ignored.
+
+    A link between two documents that no chain of other links holds together is found if they meet
+    in a bucket: at a similarity of 0.8 all but 2 in 10^5 do, at 0.9 all but 1 in 10^8. What is linked
+    is always confirmed on full sets.
     """
     ship_code(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -288,14 +304,12 @@ def near_dedup(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "do
     named = sketch.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("left").alias("left"), F.first("right").alias("right"))
     classes = materialise(classes, "classes")
-    pairs = stars = bucket_pairs(classes)
-    pairs = pairs.join(classes.select(F.col("node").alias("hub"), F.concat("left", "right").alias("x")), "hub").join(classes.select(F.col("node").alias("other"), F.concat("left", "right").alias("y")), "other")
-    pairs = materialise(pairs.filter(_agree("x", "y")).select("hub", "other"), "near-pairs")
+    stars = bucket_pairs(classes, heavy)
     own = materialise(sketch.join(classes.select("digest", "node"), "digest", "left").select("doc_id", "n_shingles", "node"), "near-own")
     # nodes that hold variants of one document are linked as they stand
     variants = own.filter("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.collect_set("node").alias("b")).filter("a <> z")
     equal = variants.select("a", F.explode("b").alias("b"))
-    labels = components(_compare(pairs, docs, k, percent).unionByName(equal))
+    labels = components(_compare(stars, docs, k, percent).unionByName(equal))
     bands = classes.select("node", F.concat("left", "right").alias("bands"))
     more = _settle(_families(stars, labels), bands, docs, k, percent)
     if not more.isEmpty():

@@ -283,8 +283,9 @@ def test_near(docs, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
-def test_near_strays(spark):
-    """A loose family: copies of copies, many of them unlike the hub."""
+@pytest.mark.parametrize("heavy", [near_dedup.HEAVY, 3])
+def test_near_strays(spark, heavy):
+    """A loose family: copies of copies, many of them unlike the hub; also with buckets cut into parts."""
     r = random.Random(9)
     texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(60))]
     while len(texts) < 90:
@@ -293,7 +294,7 @@ def test_near_strays(spark):
             w[r.randrange(len(w))] = f"w{r.randrange(5000)}"
         texts.append(" ".join(w))
     rows = [(i, t) for i, t in enumerate(texts)]
-    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), heavy=heavy).collect()
     assert {x.doc_id: tuple(x)[1:] for x in got} == near_truth(rows)
 
 
