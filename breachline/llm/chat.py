@@ -82,17 +82,32 @@ def format_chats(rows: DataFrame) -> DataFrame:
     return done.select("conv_id", "formatted", loss_mask(F.col("formatted")).alias("loss_mask"), "n_escapes")
 
 
+def learned_text(formatted: Column, mask: Column) -> Column:
+    """The unescaped text under a loss mask, each learned run cut out of the formatted text, in order.
+
+    The mask has three runs a turn, the last of them the closing mark; so a run is looked for within
+    its turn's stretch of the text, and the whole takes one pass.
+    """
+    blocks = F.split(formatted, F.lit(r"\Q" + CLOSE + r"\E"))
+
+    def cut(block: Column, i: Column) -> Column:
+        head, run = F.get(mask, 3 * i), F.get(mask, 3 * i + 1)
+        own = F.when(run["learn"], unescape(F.substr(block, (head["n"] + 1).cast("int"), run["n"].cast("int")))).otherwise(F.lit(""))
+        return F.concat(F.when(head["learn"], F.substr(block, F.lit(1), head["n"].cast("int"))).otherwise(F.lit("")), own)
+
+    return F.array_join(F.transform(F.slice(blocks, F.lit(1), F.size(blocks) - 1), cut), "")
+
+
 def digest(chats: DataFrame) -> DataFrame:
     """What the formatted texts say when read back: counts and digests per conversation."""
-    read = chats.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED), lambda t: t["text"]), "")
+    read = chats.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), learned_text(F.col("formatted"), F.col("loss_mask")).alias("learned"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
-        F.length(learned).cast("long").alias("loss_chars"),
-        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 

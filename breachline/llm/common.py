@@ -21,12 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a fresh folder in local mode (tests), an error else."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='breachline-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _local_dirs.get(context.applicationId) or _local_dirs.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='breachline-')}")
     return found.rstrip("/")
 
 

@@ -1,4 +1,8 @@
-"""The stages of the corpus pipeline, each one operator whose decisions take effect."""
+"""The stages of the corpus pipeline, each one operator whose decisions take effect.
+
+Empty tables go through all stages. Columns besides doc_id, text, source and n_chars are carried
+along, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -13,52 +17,59 @@ SMALL_ROWS = 500_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality policy keeps."""
+    """Documents that the quality policy keeps.
+
+    Null or empty texts are rejected (too few words). Rows are judged one by one, whatever their ids.
+    """
     return quality_rules.kept_rows(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less their recurring lines; those that lose all their words go. n_chars follows the text."""
-    cut = line_dedup.line_dedup(docs).filter((F.col("n_dropped") == 0) | (F.col("text") != ""))
+    """Documents less their recurring lines; those that lose all their words go. n_chars follows the text.
+
+    Null texts and rows with a null id stay as they are; rows that repeat an id each lose their own lines.
+    """
+    cut = line_dedup.line_dedup(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text")))
     changed = F.col("n_dropped") > 0
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = []
+    for c in docs.columns:
+        was = F.col("row")[c]
+        if c == "n_chars":
+            was = F.when(changed, F.length("text").cast(docs.schema[c].dataType)).otherwise(was)
+        columns.append((F.col("text") if c == "text" else was).alias(c))
+    return cut.filter(~changed | (F.col("text") != "")).select(*columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, by five-word shingles at a similarity of 0.8.
 
     Rows with a null id stay. Rows that repeat an id are compared like any others: the text with the
-    smallest hash goes by the id, its other texts by a hash of their own.
+    smallest hash goes by the id, its other texts by a hash of their own; of rows with one id and text
+    the first by a hash of all columns stays. Texts without words stay.
     """
-    text_hash = F.xxhash64("text")
-    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(text_hash).alias("_least")).filter("n > 1")
-    repeated = materialise(repeated.select(F.col("doc_id").alias("_again"), "_least"), "near-repeated")
-    keyed = docs.join(broadcast_if_small(repeated, SMALL_ROWS), docs.doc_id == F.col("_again"), "left")
-    own = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)  # after other ids
-    keyed = keyed.withColumn("_row", F.when(text_hash != F.col("_least"), own).otherwise(F.col("doc_id").cast("long")))
-    found = materialise(near_dedup.near_dedup(keyed, k=5, percent=80, id_col="_row"), "near-found")
-    gone = materialise(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_row")).distinct(), "near-gone")
-    kept = keyed.join(broadcast_if_small(gone, SMALL_ROWS), "_row", "left_anti")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    # of rows with one id and text, the first by a hash of all columns
-    copy = F.row_number().over(Window.partitionBy("_row").orderBy(F.xxhash64(*columns)))
-    once = kept.filter("_again IS NOT NULL").withColumn("_copy", copy).filter("_copy = 1")
-    return kept.filter("_again IS NULL").select(*columns).unionByName(once.select(*columns))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("hash"))
+    again = rows.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n"), F.min("hash").alias("least")).filter("n > 1")
+    again = broadcast_if_small(materialise(again.select("id", "least"), "near-repeated"), SMALL_ROWS)
+    own = F.xxhash64("id", "text").bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)  # after other ids
+    keyed = rows.join(again, "id", "left").withColumn("key", F.when(F.col("hash") != F.col("least"), own).otherwise(F.col("id")))
+    found = near_dedup.near_dedup(keyed.select("key", "text"), k=5, percent=80, id_col="key")
+    gone = materialise(found.filter(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct(), "near-gone")
+    kept = keyed.join(broadcast_if_small(gone, SMALL_ROWS), "key", "left_anti")
+    copy = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    once = kept.filter("least IS NOT NULL").withColumn("copy", copy).filter("copy = 1")
+    return kept.filter("least IS NULL").select("row").unionByName(once.select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, whole."""
-    taken = mixing.mix(docs, cut=False).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    taken = materialise(taken.filter("_copies > 0").withColumnRenamed("doc_id", "_taken_id"), "mix-taken")
-    joined = docs.join(broadcast_if_small(taken, SMALL_ROWS), docs.doc_id.eqNullSafe(F.col("_taken_id")), "inner")
-    again = joined.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Each document as often as the mix takes it, whole; every row has a decision of its own.
+
+    Texts without words are taken zero times. Null ids and sources count like any others.
+    """
+    return mixing.taken_rows(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences; null texts are the end mark alone."""
     return packing.pack(docs)
 
 

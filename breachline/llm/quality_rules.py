@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from breachline.llm.common import BLANK_CLASS, BLANKS, without_blanks, words
+from breachline.llm.common import BLANK_CLASS, BLANKS, materialise, without_blanks, words
 
 SYMBOL_CLASS = "[#*$%&|<>]"
 
@@ -162,7 +162,24 @@ def ablations(book: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES)
     )
 
 
-SQL = rf"""
+def policy_report(docs: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """policy, rule, n_failed, n_failed_alone, n_kept_without, n_kept: the ablations of all policies.
+
+    Texts are read once, for the ledger, which is stored; policies read its bits alone. An empty
+    table gives no rows.
+    """
+    book = materialise(ledger(docs, rules, id_col, text_col).select("failed_bits"), "quality-ledger")
+    parts = []
+    for policy in policies:
+        kept = book.agg(F.count(F.when(keeps(policy, F.col("failed_bits"), rules), 1)).alias("n_kept"))
+        parts.append(ablations(book, policy, rules).crossJoin(F.broadcast(kept)).select(F.lit(policy.version).alias("policy"), "*"))  # one row each
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+_BOOK = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (
   SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -183,5 +200,16 @@ w AS (
 ), b AS (
   SELECT *, ({" + ".join(f"CASE WHEN {r.fails} THEN {1 << k} ELSE 0 END" for k, r in enumerate(RULES))})::BIGINT AS failed_bits FROM m
 )
-SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM b
 """
+SQL = f"{_BOOK}SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM b"
+
+
+def _report_sql() -> str:
+    rows = [f"('{p.version}', '{name}', {1 << [r.name for r in RULES].index(name)}, {_mask(p, RULES)}, {p.allowed})" for p in POLICIES for name in p.rules]
+    return f"""{_BOOK}
+SELECT policy, rule, count(*) FILTER (failed_bits & bit <> 0) AS n_failed, count(*) FILTER (failed_bits & mask = bit) AS n_failed_alone,
+       count(*) FILTER (bit_count(failed_bits & (mask - bit)) <= allowed) AS n_kept_without, count(*) FILTER (bit_count(failed_bits & mask) <= allowed) AS n_kept
+FROM b CROSS JOIN (VALUES {", ".join(rows)}) v(policy, rule, bit, mask, allowed) GROUP BY policy, rule"""
+
+
+REPORT_SQL = _report_sql()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from breachline.llm import chat, exact_dedup, line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, suffix_dedup
 from breachline.llm.common import table
@@ -48,5 +49,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_exact_dedup, op3_line_dedup, op4_suffix_dedup, op5_quality_classifier, op6_pii, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing)}
-ORACLES = {"op1_chat_formatting": chat.SQL, "op2_exact_dedup": exact_dedup.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op8_minhash_near_dedup": near_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10_mixing says apart from its draws, which SQL can't make."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both policies over one stored ledger: what each of their rules rejects, alone and with others."""
+    return quality_rules.policy_report(table(spark, sf_dir, "documents"))
+
+
+_OPS = (op1_chat_formatting, op2_exact_dedup, op3_line_dedup, op4_suffix_dedup, op5_quality_classifier, op6_pii, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing)
+QUERIES = {f.__name__: f for f in (*_OPS, mixing_targets, quality_ablations)}
+ORACLES = {
+    "op1_chat_formatting": chat.SQL,
+    "op2_exact_dedup": exact_dedup.SQL,
+    "op4_suffix_dedup": suffix_dedup.SQL,
+    "op8_minhash_near_dedup": near_dedup.SQL,
+    "op9_quality_rules": quality_rules.SQL,
+    "mixing_targets": mixing.SQL,
+    "quality_ablations": quality_rules.REPORT_SQL,
+}
