@@ -139,17 +139,27 @@ def _compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node that can be reached), for every node of links (a, b).
 
-    Labels fall to the smallest neighbour's label, then to their label's label, until nothing falls.
+    Every node goes to its smallest neighbour if that is smaller, and on to the root of the tree that
+    these steps form; links between roots are the next round's. A round leaves half of the nodes at most.
     """
-    both = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).filter("u <> v").distinct(), "links")
-    labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    edges = materialise(links.select(*ends).filter("a <> b").distinct(), "links")
+    labels = None
     while True:
-        seen = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        low = labels.join(seen, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("c"))
-        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        low = materialise(low.join(jump, "c", "left").select("node", "was", F.least("c", F.coalesce("cc", "c")).alias("component")), "labels")
-        labels = low.select("node", "component")
-        if low.filter("component <> was").isEmpty():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("v")).union(edges.select("b", "a"))
+        up = materialise(both.groupBy("node").agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("component")), "roots")
+        while True:
+            above = up.select(F.col("node").alias("component"), F.col("component").alias("top"))
+            jumped = materialise(up.join(above, "component").select("node", F.col("top").alias("component"), (F.col("top") != F.col("component")).alias("moved")), "roots")
+            up = jumped.select("node", "component")
+            if jumped.filter("moved").isEmpty():
+                break
+        labels = up if labels is None else labels.join(up.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        labels = materialise(labels, "labels")
+        at = lambda name: up.select(F.col("node").alias(name), F.col("component").alias(f"{name}_top"))
+        left = edges.join(at("a"), "a").join(at("b"), "b").select(F.col("a_top").alias("a"), F.col("b_top").alias("b"))
+        edges = materialise(left.filter("a <> b").select(*ends).distinct(), "links")
+        if edges.isEmpty():
             return labels
 
 

@@ -207,6 +207,43 @@ def test_pii(spark, empty):
     assert pii.digest(pii.find_pii(empty)).count() == 0
 
 
+def test_pii_added_spans(spark):
+    """The added spans against brute force: candidates, votes and features by another regex engine, the same estimate."""
+    import regex
+
+    r = random.Random(11)
+    parts = ["note", "the", "Anna Weber", "(Maria", "Peter,", "Mr. Paul Klein", "token = ", "password is hunter", "12 Baker Street", "page 14", '"a1b2c3d4e5f6a7b8c9"', "AKIA1234567890ABCD", "a@b.co", "1.2.3.4", "+1 988 555 2485", "user: bob", "x=9", "###", "!!", "7", "2021-03-04", "é9"]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(150)]
+    rows = []
+    for i, t in enumerate(texts):
+        base = [tuple(map(int, x.split(":")[1:])) for x in base_spans(t)]
+        last = 0
+        hits = [(m.start(), m.end()) for m in regex.finditer(pii._TOKEN, t)]
+        for k, (s, e) in enumerate(hits):
+            gap, after = t[last:s], t[e : hits[k + 1][0] if k + 1 < len(hits) else len(t)]
+            bare = regex.sub(pii._LEAD, "", t[s:e])
+            start = e - len(bare)
+            tok = regex.sub(pii._TAIL, "", bare)
+            if regex.search(r"[\p{L}0-9]", tok) and not any(a < start + len(tok) and start < b for a, b in base):
+                x = {"tok": tok, "before": (gap + t[s:start])[-pii.CONTEXT :], "after": after[: pii.CONTEXT]}
+                votes = sum(3**n * (1 if regex.search(yes, x[f]) else 2 if regex.search(no, x[f]) else 0) for n, (_, f, yes, no) in enumerate(pii.LABELERS))
+                bits = sum(1 << n for n, (f, p) in enumerate(pii.FEATURES) if regex.search(p, x[f]))
+                rows.append((i, start, start + len(tok), votes, bits))
+            last = e
+    _, _, posterior = pii.estimate(sorted(Counter(x[3] for x in rows).items()))
+    shares = defaultdict(list)
+    for x in rows:
+        shares[x[4]].append(posterior[x[3]])
+    weights = pii.train([(b, sum(ps) / len(ps), len(ps)) for b, ps in sorted(shares.items())])
+    want = defaultdict(list)
+    for i, s, e, _, bits in rows:
+        if weights[-1] + sum(w for n, w in enumerate(weights[:-1]) if bits >> n & 1) > 0:
+            want[i].append(f"private:{s}:{e}")
+    got = pii.digest(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert {x.doc_id: [s for s in x.spans.split(",") if s.startswith("private")] for x in got} == {i: want[i] for i in range(len(texts))}
+    assert sum(map(len, want.values())) > 50 and all(x.n_spans == len([s for s in x.spans.split(",") if s]) for x in got)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
@@ -298,6 +335,25 @@ def test_near_strays(spark, heavy):
     assert {x.doc_id: tuple(x)[1:] for x in got} == near_truth(rows)
 
 
+def test_components(spark):
+    """Paths, stars and random graphs against union-find."""
+    r = random.Random(8)
+    links = [(i, i + 1) for i in range(100, 140)] + [(200, 200 + i) for i in range(1, 30)] + [(400 + r.randrange(80), 400 + r.randrange(80)) for _ in range(60)] + [(700 + (i * 7) % 31, 700 + ((i + 1) * 7) % 31) for i in range(31)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    got = {x.node: x.component for x in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: top(x) for x in up}
+
+
 def test_shingles_of_long_texts():
     r = random.Random(2)
     text = (" ".join(r.choice(WORDS) for _ in range(600_000))).encode()
