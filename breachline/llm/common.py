@@ -46,14 +46,25 @@ def ship_code(spark: SparkSession) -> None:
     spark.conf.set("spark.breachline.shipped", "yes")
 
 
+#: Rows of an Arrow batch while a table is written: texts are long, and two workers share an executor's memory.
+ARROW_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The file names are unique, so that a rerun never reads an earlier run's table.
+    The file names are unique, so that a rerun never reads an earlier run's table. The session's
+    setting for Arrow batches is put back after the write.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, ARROW_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

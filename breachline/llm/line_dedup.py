@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breachline.llm import bytescan
-from breachline.llm.common import broadcast_if_small, keyed_join, materialise, ship_code, shuffle_parts
+from breachline.llm.common import BLANKS, broadcast_if_small, keyed_join, materialise, ship_code, shuffle_parts
 
 #: Tokens of a line that may vary besides those with digits, in number and as a share; one stretch more than that.
 FIELDS, SHARE = 4, 0.4
@@ -245,17 +245,11 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = LEAST, id_
     return lost.unionByName(_fields(materialise(texts, "line-open"), told, id_type, min_docs)).distinct()
 
 
-def _cut(text: pa.Array, lost: pa.Array) -> pa.Array:
-    """Texts less the lines at lost places; empty where no line with a word is left. Null where nothing is lost."""
-    out = []
-    for t, places in zip(text, lost, strict=True):
-        if not places.is_valid:
-            out.append(None)
-            continue
-        gone = set(places.as_py())
-        kept = [x for i, x in enumerate(t.as_py().split("\n")) if i not in gone]
-        out.append("\n".join(kept) if any(x.strip(" \t\n\x0b\x0c\r") for x in kept) else "")
-    return pa.array(out, pa.string())
+def _without(lines: Column, lost: Column) -> Column:
+    """The lines whose places are not in lost (ascending): a flag for each place up to the last, so that the work is linear."""
+    before = lambda i: F.coalesce(F.get(lost, i - 1), F.lit(-1))
+    flags = F.flatten(F.transform(lost, lambda at, i: F.concat(F.array_repeat(F.lit(False), at - before(i) - 1), F.array(F.lit(True)))))
+    return F.get(F.transform(F.array(flags), lambda gone: F.filter(lines, lambda x, i: ~F.coalesce(F.get(gone, i), F.lit(False)))), F.lit(0))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,13 +263,14 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = LEAST, id
     Columns named n_lines or n_dropped are replaced; other columns may have any names.
     """
     ship_code(docs.sparkSession)
-    lost = recurring(docs, min_docs, least, id_col, text_col).groupBy("doc_id", "hash").agg(F.collect_list("line").alias("lost"))
+    lost = recurring(docs, min_docs, least, id_col, text_col).groupBy("doc_id", "hash").agg(F.sort_array(F.collect_list("line")).alias("lost"))
     lost = broadcast_if_small(materialise(lost, "lost-lines"), SMALL_ROWS, F.size("lost"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"))
     joined = rows.join(lost, ["doc_id", "hash"], "left")
     text = F.col("row")[text_col]
-    cut = F.arrow_udf(_cut, "string")(F.when(F.col("lost").isNotNull(), text), F.col("lost"))
-    joined = joined.select("row", F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n"), cut.alias("cut"))
+    some = lambda kept: F.when(F.exists(kept, lambda x: F.length(F.btrim(x, F.lit("".join(BLANKS)))) > 0), F.array_join(kept, "\n")).otherwise(F.lit(""))
+    cut = F.get(F.transform(F.array(_without(F.split(text, "\n"), F.col("lost"))), some), F.lit(0))
+    joined = joined.select("row", F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("long").alias("n"), F.when(F.col("lost").isNotNull(), cut).alias("cut"))
     n_lines: Column = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
     out = [(F.when(F.col("n") > 0, F.col("cut")).otherwise(text) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(*out, n_lines.alias("n_lines"), F.col("n").alias("n_dropped"))
