@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from breachline.operators.fixpoint import reach
 from breachline.plans.facts import DERIVED, DerivedFacts, FactStore
+from breachline.plans.lineage import cut
 
 ROUTE = ["source_host", "destination_host", "service_name"]
 
@@ -51,17 +52,29 @@ def starts(store: FactStore) -> DataFrame:
     return store.attacker_positions.select("attacker_id", F.col("starting_host").alias("host")).distinct()
 
 
-def reach_hosts(store: FactStore, **options) -> DataFrame:
+def reach_hosts(store: FactStore, access: DataFrame | None = None, **options) -> DataFrame:
     """(attacker_id, host, round): hosts each attacker runs code on, with the fewest hops to get there."""
-    return reach(starts(store), exploit_edges(store), **options)
+    return reach(starts(store), exploit_edges(store, access), **options)
 
 
 def remote_exec(store: FactStore, reached: DataFrame, access: DataFrame | None = None) -> DataFrame:
-    """Positions, and what vulnerabilities give across open routes from reached hosts."""
+    """Positions, and what vulnerabilities give across open routes from reached hosts.
+
+    Most hosts give the same privileges whichever way in is taken; for these it is enough that the
+    attacker got there. Sources are looked up only for the others, and for hosts where attackers start.
+    """
     access = effective_access(store) if access is None else access
     steps = access.join(_holes(store), ["destination_host", "service_name"]).select("source_host", F.col("destination_host").alias("compromised_host"), F.col("privilege").alias("obtained_privilege")).distinct()
+    ways = steps.groupBy("source_host", "compromised_host").agg(F.sort_array(F.collect_set("obtained_privilege")).alias("gives"))  # of three at most
+    even = ways.groupBy("compromised_host").agg(F.min("gives").alias("gives"), (F.min("gives") == F.max("gives")).alias("even"))
+    pair = ["attacker_id", "compromised_host"]
+    at = reached.select("attacker_id", F.col("host").alias("compromised_host"))
+    begun = starts(store).withColumnRenamed("host", "compromised_host")
+    plain = at.join(even.filter("even").drop("even"), "compromised_host").join(begun, pair, "left_anti").select(*pair, F.explode("gives").alias("obtained_privilege"))
     held = reached.select("attacker_id", F.col("host").alias("source_host"))
-    return held.join(steps, "source_host").select(*DERIVED["execCode"]).unionByName(initial_exec(store)).distinct()
+    odd = held.join(steps.join(even.filter("NOT even"), "compromised_host", "left_semi"), "source_host").select(*DERIVED["execCode"])
+    back = begun.join(steps, "compromised_host").join(held, ["attacker_id", "source_host"], "left_semi").select(*DERIVED["execCode"])
+    return plain.unionByName(odd.unionByName(back).unionByName(initial_exec(store)).distinct())
 
 
 def local_exec(store: FactStore, held: DataFrame) -> DataFrame:
@@ -94,8 +107,8 @@ def goal_reached(store: FactStore, owned: DataFrame) -> DataFrame:
 
 def evaluate(store: FactStore, local: bool = True, **options) -> DerivedFacts:
     """All derived relations of a snapshot."""
-    access = effective_access(store)
-    executions = exec_code(store, local, reach_hosts(store, **options), access)
+    access = cut(effective_access(store))
+    executions = exec_code(store, local, reach_hosts(store, access, **options), access)
     owned = owns_machine(executions)
     return DerivedFacts(access, executions, owned, goal_reached(store, owned))
 

@@ -1,7 +1,9 @@
 """Base relations as views over business tables: hosts are parts, routes are line items, attackers are customers.
 
 Every row of a table takes part. Each line item is a route and a firewall rule, and its supplier says
-whether the rule denies; each customer is an attacker with a goal per nation.
+whether the rule denies; each customer is an attacker with a goal per nation. The network is made of
+segments of 200 hosts, in each of which routes lead one to eight hosts on around a ring. So ways are
+long, and the pairs of attackers and hosts grow with the tables, not with the square of them.
 
 The statements run unchanged on Spark and on DuckDB, so the same text serves queries and oracles.
 """
@@ -12,7 +14,7 @@ from pyspark.sql import SparkSession
 
 from breachline.plans.facts import FIELD, FactStore
 
-_HOST = "'host_' || (l_orderkey % (SELECT count(*) FROM part))"
+_HOST = "'host_' || (l_partkey - l_partkey % 200 + (l_partkey % 200 + 1 + l_orderkey % 8) % 200)"
 _SERVICE = "CASE l_returnflag WHEN 'A' THEN 'ssh' WHEN 'N' THEN 'http' ELSE 'smb' END"
 _NEEDS = "CASE p_size % 3 WHEN 0 THEN 'ssh' WHEN 1 THEN 'http' ELSE 'smb' END"
 _GIVES = "CASE WHEN p_size % 5 = 0 THEN 'none' WHEN p_size % 5 <= 2 THEN 'user' ELSE 'root' END"
