@@ -1,10 +1,12 @@
 """Exact dedup as a tree merge of sorted digest runs, in DataFrame operations only.
 
-Each input partition yields one run: its distinct digests, each with the row that stays. In
-binomial rounds, groups of ``fan_in`` runs meet, and a sort-based aggregate keeps the best row of
-each digest, checked against a second hash and the normalised length. Rounds are keyed by (group
-of runs, digest), so no task ever holds a whole run, and a digest with a third of all rows is one
-row per run after the first map-side combine.
+The documents of each input partition are a run of digests. In binomial rounds ``fan_in`` runs at a
+time, those whose numbers differ in one digit, are exchanged and merged: round k leaves one run for
+every ``fan_in ** k`` partitions, cut into as many ranges of digests, so the number of tasks stays the
+same and no task holds a whole run. A slot (run, range) is brought to one task and sorted; equal
+digests are neighbours then, and a sort aggregate retains the best row of each, verified against a
+second hash and the normalised length. A digest that a third of all rows share is spread over the
+runs in the first round and is one row a run from then on.
 """
 
 from __future__ import annotations
@@ -12,9 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breachline.llm.common import materialise, without_blanks
+from breachline.llm.common import keyed_join, materialise, shuffle_parts, without_blanks
 
-MEMBER = ("doc_id", "digest", "check", "n_norm", "n_chars_text")
+FAN_IN = 4
+#: Tables of groups of at most this many rows are broadcast to the members, larger ones shuffled.
+SMALL_ROWS = 200_000
+KEY = ("digest", "check", "n_norm")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,36 +35,62 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def merge_runs(members: DataFrame, rounds: int = 2, fan_in: int = 16) -> DataFrame:
-    """(digest, check, n_norm) -> keep_id, group_size: ``fan_in ** rounds`` runs, merged in ``rounds`` rounds."""
-    best = F.max(F.struct(F.col("n_chars_text"), (-F.col("doc_id")).alias("neg_id")))
-    runs = members.withColumn("run", F.spark_partition_id() % (fan_in**rounds)).groupBy("run", "digest", "check", "n_norm").agg(best.alias("best"), F.count("*").alias("group_size"))
-    for _ in range(rounds):
-        runs = (
-            runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .groupBy("run", "digest", "check", "n_norm")
-            .agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
-        )
-    return runs.select("digest", "check", "n_norm", (-F.col("best.neg_id")).alias("keep_id"), "group_size")
+def rounds_for(runs: int, fan_in: int = FAN_IN) -> int:
+    """Rounds until so many runs are one."""
+    k = 1
+    while fan_in**k < runs:
+        k += 1
+    return k
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, fan_in: int = 16) -> DataFrame:
+def first_runs(members: DataFrame, rounds: int, fan_in: int = FAN_IN) -> DataFrame:
+    """Rows (run, digest, check, n_norm, best, group_size): the rows of a partition are a run, each a group of its own.
+
+    Of equal digests the smallest ``best`` stays: most code points, then the smallest id, null last.
+    """
+    best = F.struct((-F.col("n_chars_text")).alias("n"), F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"))
+    run = (F.spark_partition_id() % fan_in**rounds).cast("int")
+    return members.select(run.alias("run"), *KEY, best.alias("best"), F.lit(1).cast("long").alias("group_size"))
+
+
+def merge_round(runs: DataFrame, k: int, rounds: int, fan_in: int = FAN_IN) -> DataFrame:
+    """Round k (from 1): ``fan_in`` runs at a time become one, sorted by digest within ``fan_in ** k`` ranges of digests."""
+    ranges = fan_in**k
+    top = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    slot = (F.floor(F.col("run") / fan_in) * ranges + F.floor(top * ranges / (1 << 32))).cast("int")
+    met = runs.withColumn("slot", slot).drop("run").repartitionById(fan_in**rounds, "slot").sortWithinPartitions("slot", *KEY)
+    merged = met.groupBy("slot", *KEY).agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"))
+    return merged.select(F.floor(F.col("slot") / ranges).cast("int").alias("run"), *KEY, "best", "group_size")
+
+
+def merge_runs(members: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """(digest, check, n_norm) -> keep_id, group_size, after as many rounds as the session's shuffle partitions need."""
+    rounds = rounds_for(shuffle_parts(members.sparkSession), fan_in)
+    runs = first_runs(members, rounds, fan_in)
+    for k in range(1, rounds + 1):
+        runs = merge_round(runs, k, rounds, fan_in)
+    return runs.select(*KEY, F.col("best.id").alias("keep_id"), "group_size")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting blanks; of equal texts the one with the most code
-    points stays, then the smallest id. Null text equals empty text, and all-blank texts equal it
-    too. Rows repeated with one id count in group_size, and each is returned. A null id sorts last
-    and stays only where nothing else can. An empty table gives an empty result; other columns of
-    docs are ignored, whatever their names.
+    points stays, then the smallest id (of any ordered type). Null text equals empty text, and
+    all-blank texts equal it too. Rows repeated with one id count in group_size, and each is returned.
+    A null id sorts last and stays only where nothing else can. An empty table gives an empty result;
+    other columns of docs are ignored, whatever their names.
     """
     members = materialise(digests(docs, id_col, text_col), "digests")
-    groups = merge_runs(members, rounds, fan_in)
-    return members.join(groups, ["digest", "check", "n_norm"], "inner").select(
+    groups = materialise(merge_runs(members, fan_in), "digest-groups")
+    # digest, check and length are one key here: groups of copies of any size are joined without meeting in one task
+    keyed = lambda df: df.withColumn("key", F.struct(*KEY)).drop(*KEY)
+    return keyed_join(keyed(members.drop("n_chars_text")), keyed(groups), "key", "group_size", SMALL_ROWS).select(
         "doc_id",
         "keep_id",
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        F.lower(F.hex("key.digest")).alias("text_sha256"),
     )
 
 

@@ -95,6 +95,27 @@ def test_exact(docs, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_rounds(spark):
+    """Every round leaves a quarter of the runs, each sorted by digest within a slot, the best row of each digest, and all counts."""
+    r = random.Random(3)
+    frame = spark.createDataFrame([(i, r.choice(WORDS) + " " * r.randint(0, 3)) for i in range(800)], "doc_id long, text string").repartition(16)
+    members = exact_dedup.digests(frame)
+    rounds = exact_dedup.rounds_for(16)
+    runs = exact_dedup.first_runs(members, rounds)
+    assert rounds == 2 and runs.select("run").distinct().count() == 16
+    for k in range(1, rounds + 1):
+        runs = exact_dedup.merge_round(runs, k, rounds)
+        got = runs.withColumn("part", F.spark_partition_id()).collect()
+        assert {x.run for x in got} == set(range(16 // 4**k)) and sum(x.group_size for x in got) == 800
+        assert len({(x.run, bytes(x.digest)) for x in got}) == len(got)
+        for part in {x.part for x in got}:
+            own = [(x.run, bytes(x.digest)) for x in got if x.part == part]
+            assert own == sorted(own)
+            if k == rounds:  # one range of digests to a task
+                assert len({x[1][0] * 16 >> 8 for x in own}) == 1
+    assert len(got) == len(WORDS)
+
+
 def test_lines(spark, docs, empty):
     got = {x.doc_id: x for x in line_dedup.line_dedup(docs).collect()}
     texts = {i: t for i, t, _ in corpus()}
