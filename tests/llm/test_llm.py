@@ -193,15 +193,30 @@ def test_repeats_by_common_prefixes(seed):
 def test_classifier(spark, empty):
     r = random.Random(6)
     good = [(i, " ".join(prose(r, 12).capitalize() + "." for _ in range(r.randint(4, 20)))) for i in range(150)]
-    bad = [(200 + i, " ".join(w + r.choice(["***", "$$$"]) for w in prose(r, 60).split())) for i in range(15)] + [(220 + i, prose(r, 60).upper() + "!!!") for i in range(15)] + [(240 + i, " ".join([r.choice(WORDS)] * 80)) for i in range(15)]
-    frame = spark.createDataFrame([(i, t, 0) for i, t in good + bad] + [(300, None, 0), (301, "", 0)], "doc_id long, text string, votes int")
-    got = {x.doc_id: x for x in quality_classifier.classify(frame).collect()}
-    assert len(got) == len(good) + len(bad) + 2
+    bad = [(200 + i, " ".join(w + r.choice(["***", "$$$"]) for w in prose(r, 60).split())) for i in range(15)] + [(220 + i, " ".join(w + "!!" for w in prose(r, 60).upper().split())) for i in range(15)] + [(240 + i, " ".join([r.choice(WORDS)] * 80)) for i in range(15)]
+    frame = spark.createDataFrame([(i, t, 0) for i, t in good + bad] + [(300, None, 0), (301, "", 0), (None, good[0][1], 0), (1, good[1][1], 0), (1, good[2][1], 0)], "doc_id long, text string, votes int")
+    rows = quality_classifier.classify(frame).collect()
+    got = {x.doc_id: x for x in rows}
+    assert len(rows) == len(good) + len(bad) + 5 and len(got) == len(good) + len(bad) + 3
+    assert sorted(map(str, rows)) == sorted(map(str, quality_classifier.classify(frame.repartition(7), sample=2000).collect()))
     right = [got[i].kept for i, _ in good] + [not got[i].kept for i, _ in bad]
     assert all(got[i].kept for i, _ in good) and sum(right) / len(right) > 0.97
     assert quality_classifier.classify(empty).count() == 0
 
 
+def test_estimate():
+    """EM finds the rates of planted labelers that overlap, none of which it is told."""
+    r = random.Random(21)
+    rates = [(0.6, 0.02), (0.7, 0.05), (0.4, 0.01), (0.8, 0.1), (0.3, 0.03), (0.5, 0.002)]
+    counts = Counter()
+    for _ in range(40_000):
+        good = r.random() < 0.85
+        counts[sum(1 << k for k, (hit, alarm) in enumerate(rates) if r.random() < (alarm if good else hit))] += 1
+    share, got, posterior = quality_classifier.estimate(sorted(counts.items()), n=6)
+    assert abs(share - 0.85) < 0.02 and all(abs(g - w) < 0.05 for x, y in zip(got, rates, strict=True) for g, w in zip(x, y, strict=True))
+    assert posterior[0] > 0.95 and posterior[0b1011] < 0.05
+
+
 def base_spans(t):
     out = []
     for k, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
