@@ -1,10 +1,11 @@
 """Best-fit packing of tokenised documents by linear grouping.
 
 Pieces have at most ``capacity`` lengths, so a histogram of lengths says all that a packing needs.
-Large lengths are cut into groups of equal cardinality and rounded up to the largest of their group;
-configurations of those few sizes are chosen, the fullest for the largest size left, each used as
-often as the groups allow. Actual lengths then take the places of the rounded ones, and small pieces
-go where they fit best into what is left. The plan says which ranks of each length go to which
+Large lengths are cut into groups of equal cardinality and rounded up to the largest of their group.
+Which configurations of those few sizes to use, and how often, is a linear program: columns are
+generated by a knapsack over its prices until none is worth adding, and uses are rounded down. Actual
+lengths then take the places of the rounded ones; the few large pieces that rounding leaves, and after
+them the small ones, go where they fit best. The plan says which ranks of each length go to which
 sequences, as ranges: its size depends on the capacity and the number of groups, not on the corpus.
 Executors rank the pieces of each length and look their places up.
 """
@@ -27,7 +28,9 @@ from breachline.llm.common import materialise, ship_code
 
 CAPACITY = 1024
 END_ID = 2
-GROUPS = 512
+GROUPS = 100
+#: Columns are generated until none is worth adding, or this often; any round's answer is a packing.
+COLUMNS = 3000
 #: Lengths up to capacity / SMALL are packed last, one by one.
 SMALL = 8
 #: Pieces of one length that are ranked in one group.
@@ -129,6 +132,56 @@ def _tokenised(path: str, capacity: int):
     return run
 
 
+def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations (size number -> how often) and their uses, rounded down, of an optimal fractional packing.
+
+    The fewest sequences that hold counts[g] pieces of sizes[g], by the simplex method with generated columns.
+    """
+    m = len(sizes)
+    if not m:
+        return []
+    demand = np.array(counts, dtype=float)
+    columns = [np.zeros(m, dtype=np.int64) for _ in range(m)]
+    for g, size in enumerate(sizes):
+        columns[g][g] = capacity // size
+    inverse = np.diag([1.0 / (capacity // size) for size in sizes])
+    uses = inverse @ demand
+    most = capacity // min(sizes)
+    for _ in range(COLUMNS):
+        price = inverse.sum(axis=0)
+        # the dearest column: best[k][w] is the highest price of at most k pieces of total size w at most
+        best, choice = np.zeros(capacity + 1), []
+        for _ in range(most):
+            picked, better = np.full(capacity + 1, -1), best.copy()
+            for g, size in enumerate(sizes):
+                offer = best[: capacity + 1 - size] + price[g]
+                win = offer > better[size:] + 1e-12
+                better[size:][win] = offer[win]
+                picked[size:][win] = g
+            if (picked < 0).all():
+                break
+            choice.append(picked)
+            best = better
+        if best[capacity] <= 1 + 1e-9:
+            break
+        column, room = np.zeros(m, dtype=np.int64), capacity
+        for picked in reversed(choice):
+            if (g := picked[room]) >= 0:
+                column[g] += 1
+                room -= sizes[g]
+        step = inverse @ column
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(step > 1e-9, uses / step, np.inf)
+        out = int(np.argmin(ratio))
+        columns[out] = column
+        inverse[out] /= step[out]
+        for i in range(m):
+            if i != out:
+                inverse[i] -= step[i] * inverse[out]
+        uses = np.maximum(inverse @ demand, 0)
+    return [({g: int(k) for g, k in enumerate(c) if k}, int(u + 1e-6)) for c, u in zip(columns, uses, strict=True)]
+
+
 class Plan:
     """Places for ranks of lengths: entry e sends rank low[e] + i of length[e] to sequence first[e] + i at offset[e]."""
 
@@ -176,35 +229,30 @@ class Plan:
         return out
 
     def _large(self, counts: dict[int, int], groups: int) -> None:
+        if full := counts.pop(self.capacity, 0):
+            self._open([self.capacity], full)
         held = self._grouped(counts, groups)
-        sizes = [g[0][0] for g in held]
-        left = [sum(c for _, c in g) for g in held]
-        mask = (1 << (self.capacity + 1)) - 1
-        for top in range(len(held)):
-            while left[top]:
-                uses = self._configuration(top, sizes, left, mask)
-                n = min(left[g] // k for g, k in uses.items())
+        # groups that end on one length are one size
+        merged: list[list[list[int]]] = []
+        for g in held:
+            if merged and merged[-1][0][0] == g[0][0]:
+                merged[-1] += g
+            else:
+                merged.append(g)
+        sizes = [g[0][0] for g in merged]
+        left = [sum(c for _, c in g) for g in merged]
+        for uses, n in configurations(sizes, left, self.capacity):
+            n = min([n, *(left[g] // k for g, k in uses.items())])
+            if n:
                 for g, k in uses.items():
                     left[g] -= k * n
-                self._substitute([held[g] for g, k in uses.items() for _ in range(k)], n)
-
-    def _configuration(self, top: int, sizes: list[int], left: list[int], mask: int) -> dict[int, int]:
-        """Group -> how often, with one of the top group at least, filling a sequence as far as can be."""
-        sums, steps = 1 << sizes[top], []
-        for g in range(top, len(sizes)):
-            for _ in range(min(left[g] - (g == top), (self.capacity - sizes[top]) // sizes[g])):
-                steps.append((g, sums))
-                more = sums | (sums << sizes[g]) & mask
-                if more == sums:
-                    break
-                sums = more
-        fill = sums.bit_length() - 1
-        uses = defaultdict(int, {top: 1})
-        for g, before in reversed(steps):
-            if not before >> fill & 1:
-                uses[g] += 1
-                fill -= sizes[g]
-        return uses
+                self._substitute([merged[g] for g, k in uses.items() for _ in range(k)], n)
+        rest: dict[int, int] = defaultdict(int)
+        for runs in merged:
+            for length, c in runs:
+                rest[length] += c
+        for length in sorted(rest, reverse=True):
+            self._best_fit(length, rest[length])
 
     def _substitute(self, slots: list[list[list[int]]], n: int) -> None:
         """n sequences with an actual piece of each slot's group; the same group may fill several slots."""

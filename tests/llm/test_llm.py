@@ -312,6 +312,18 @@ def test_encoder():
     assert all(own(t) == np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts)
 
 
+def test_configurations():
+    """An optimal fractional packing: the known optimum of a small instance, and no more than demanded."""
+    got = packing.configurations([60, 40, 30], [100, 100, 100], 100)
+    made = Counter()
+    for uses, n in got:
+        assert sum([60, 40, 30][g] * k for g, k in uses.items()) <= 100
+        for g, k in uses.items():
+            made[g] += k * n
+    # 100 of 60 + 40, and 100 pieces of 30 by threes
+    assert 131 <= sum(n for _, n in got) <= 134 and all(made[g] <= 100 for g in range(3)) and made[0] == made[1] == 100
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan(seed):
     r = random.Random(seed)
@@ -325,7 +337,7 @@ def test_plan(seed):
     seq, at, length = seq[order], at[order], length[order]
     new = np.append(True, seq[1:] != seq[:-1])
     assert (at[new] == 0).all() and (at[~new] == (at + length)[:-1][~new[1:]]).all() and (at + length).max() <= 1024
-    assert seed < 2 or plan.sequences <= 1.15 * least
+    assert seed < 2 or plan.sequences <= 1.01 * least
 
 
 def near_truth(rows, k=4):
