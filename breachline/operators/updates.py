@@ -11,7 +11,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from breachline.plans.facts import DERIVED, DerivedFacts, FactStore
+from breachline.plans.facts import BASE, DERIVED, DerivedFacts, FactStore
+from breachline.plans.lineage import cut, sent
 from breachline.sources.facts_text import store_of
 
 LOG = "seq bigint, op string, predicate string, args array<string>"
@@ -53,8 +54,28 @@ def store_from(counts: DataFrame) -> FactStore:
     return store_of(counts.select("predicate", "args", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("predicate", "args"))
 
 
-def apply_updates(store: FactStore, log: DataFrame) -> FactStore:
-    return store_from(replayed(counted(store), log))
+def named_facts(log: DataFrame) -> DataFrame:
+    """(predicate, args) of the facts that a log inserts or removes."""
+    return normalised(log).select("predicate", "args").distinct()
+
+
+def apply_updates(store: FactStore, log: DataFrame, named: DataFrame | None = None) -> FactStore:
+    """The store after a log. Only facts that the log names are counted and replayed; all others stay as they are."""
+    named = cut(named_facts(log)) if named is None else named
+    kinds = {r.predicate for r in named.select("predicate").distinct().collect()}  # at most six
+    gone = {p: sent(named.filter(F.col("predicate") == p).select(*[F.get("args", F.lit(k)).alias(c) for k, c in enumerate(BASE[p])])) for p in kinds}
+    held = None
+    for p in kinds:
+        own = store.relation(p).join(gone[p], list(BASE[p]), "left_semi").groupBy(*BASE[p]).agg(F.count("*").cast("long").alias("copies"))
+        own = own.select(F.lit(p).alias("predicate"), F.array(*BASE[p]).alias("args"), "copies")
+        held = own if held is None else held.unionByName(own)
+    if held is None:
+        return store
+    fresh = store_from(cut(replayed(held, log)))
+    for p in kinds:
+        kept = store.relation(p).join(gone[p], list(BASE[p]), "left_anti").select(*BASE[p])
+        store = store.with_relation(p, kept.unionByName(fresh.relation(p)))
+    return store
 
 
 def consolidated(feed: DataFrame) -> DataFrame:

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breachline.operators import rules
-from breachline.operators.updates import counted, replayed, store_from
-from breachline.plans.facts import DerivedFacts, FactStore
-from breachline.plans.lineage import cut
+from breachline.operators.fixpoint import SMALL_EDGES, reach
+from breachline.operators.updates import apply_updates, named_facts
+from breachline.plans.facts import FIELD, DerivedFacts, FactStore
+from breachline.plans.lineage import cut, sent
 
 PAIR = ["attacker_id", "host"]
+#: Updates that may lie over a table before it is written anew.
+LAYERS = 6
 
 
 class Engine(ABC):
@@ -41,106 +44,195 @@ class RecomputeEngine(Engine):
     name = "full-recompute"
 
     def __init__(self, **options):
-        self._options, self._counts = options, None
+        self._options, self._store, self._layers = options, None, 0
 
     def load_snapshot(self, store: FactStore) -> None:
-        self._counts = counted(store)
+        self._store, self._layers = store, 0
 
     def apply_updates(self, log: DataFrame) -> None:
-        self._counts = cut(replayed(self._counts, log))
+        self._store = apply_updates(self._store, log)
+        self._layers += 1
+        if self._layers >= LAYERS:
+            self._store, self._layers = _written(self._store), 0
 
     def facts(self) -> FactStore:
-        return store_from(self._counts)
+        return self._store
 
     def current_derived_facts(self) -> DerivedFacts:
         return rules.evaluate(self.facts(), **self._options)
 
 
+class NaiveEngine(RecomputeEngine):
+    """Derives all executions again in every round until none is new; for comparison on small inputs."""
+
+    name = "naive"
+
+    def current_derived_facts(self) -> DerivedFacts:
+        store = self.facts()
+        access = cut(rules.effective_access(store))
+        begun = rules.initial_exec(store)
+        held = cut(begun)
+        while True:
+            steps = access.join(rules._holes(store), ["destination_host", "service_name"])
+            at = held.select("attacker_id", F.col("compromised_host").alias("source_host"))
+            remote = at.join(steps, "source_host").select("attacker_id", F.col("destination_host").alias("compromised_host"), F.col("privilege").alias("obtained_privilege"))
+            found = cut(begun.unionByName(remote).unionByName(rules.local_exec(store, held)).unionByName(held).distinct())
+            if found.count() == held.count():
+                owned = rules.owns_machine(held)
+                return DerivedFacts(access, held, owned, rules.goal_reached(store, owned))
+            held = found
+
+
+def _written(store: FactStore) -> FactStore:
+    return FactStore(**{f: cut(getattr(store, f)) for f in FIELD.values()})
+
+
+def _union(frames: list[DataFrame]) -> DataFrame | None:
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
 class IncrementalEngine(Engine):
     """Keeps reachability and executions, and repairs what an update can have touched.
 
-    Exploit edges are compared only where a route or a vulnerability changed, so an edge with another
-    support stays. Pairs that may have lost their support are over-deleted along edges that are gone,
-    then derived again from pairs that stand, so a cycle cannot hold itself up. If the over-deleted
-    share passes ``give_up``, the fixpoint is computed anew.
+    Base facts, access, edges, pairs and executions are tables with the changes of a few updates laid
+    over them: what an update names or derives anew replaces the rows of the same keys, all others are
+    not rewritten. Exploit edges are compared only where a route or a vulnerability changed, so an edge
+    with another support stays.
+
+    Attackers are independent. Where the edges are few, those that hold the source of a changed edge, or
+    start elsewhere, are searched again. Otherwise pairs that may have lost their support are over-deleted
+    along edges that are gone, then derived again from pairs that stand, so a cycle cannot hold itself up;
+    if the over-deleted share passes ``give_up``, the fixpoint is computed anew.
     """
 
     name = "incremental"
 
-    def __init__(self, give_up: float = 0.3, max_rounds: int = 100_000):
-        self.give_up, self.max_rounds = give_up, max_rounds
+    def __init__(self, give_up: float = 0.3, max_rounds: int = 100_000, small_edges: int = SMALL_EDGES):
+        self.give_up, self.max_rounds, self.small_edges = give_up, max_rounds, small_edges
         self.repairs: list[str] = []
 
     def load_snapshot(self, store: FactStore) -> None:
-        self._counts = cut(counted(store))
-        s = self.facts()
-        self._access = cut(rules.effective_access(s))
-        self._edges = cut(rules.exploit_edges(s, self._access))
-        self._reach = cut(rules.reach(rules.starts(s), self._edges).select(*PAIR))
-        self._exec = cut(rules.exec_code(s, True, self._reach, self._access))
+        self._store, self._layers = store, 0
+        self._access = cut(rules.effective_access(store))
+        self._edges = cut(rules.exploit_edges(store, self._access))
+        self._reach = cut(self._searched(rules.starts(store), self._edges))
+        self._exec = cut(rules.exec_code(store, True, self._reach, self._access))
+        self._pairs = self._reach.count()
 
     def facts(self) -> FactStore:
-        return store_from(self._counts)
+        return self._store
 
     def current_derived_facts(self) -> DerivedFacts:
         owned = rules.owns_machine(self._exec)
         return DerivedFacts(self._access, self._exec, owned, rules.goal_reached(self.facts(), owned))
 
+    def _searched(self, starts: DataFrame, edges: DataFrame) -> DataFrame:
+        return reach(starts, edges, self.small_edges, self.max_rounds).select(*PAIR)
+
     def apply_updates(self, log: DataFrame) -> None:
-        old = self.facts()
-        counts = cut(replayed(self._counts, log))
-        new = store_from(counts)
+        named = cut(named_facts(log))
+        kinds = {r.predicate for r in named.select("predicate").distinct().collect()}  # at most six
+        if not kinds:
+            return
+        old, new = self._store, apply_updates(self._store, log, named)
         arg = lambda k: F.get("args", F.lit(k))
-        touched = cut(log.select("predicate", "args").distinct())
-        of = lambda *p: touched.filter(F.col("predicate").isin(*p))
-        # effective access, only on touched routes
+        of = lambda *p: named.filter(F.col("predicate").isin(*p))
+        access, edges, gone, added = self._access, self._edges, None, None
         routes = of("hacl", "firewallDeny").select(arg(0).alias("source_host"), arg(1).alias("destination_host"), arg(2).alias("service_name")).distinct()
-        fresh = cut(rules.effective_access(new.with_relation("hacl", new.network_access.join(routes, rules.ROUTE, "left_semi"))))
-        access = cut(self._access.join(routes, rules.ROUTE, "left_anti").unionByName(fresh))
-        # exploit edges, only on touched routes and on routes to touched (host, service)
-        holes = of("vulExists").select(arg(0).alias("destination_host"), arg(2).alias("service_name")).distinct()
-        both = self._access.unionByName(access).distinct()
-        near = both.join(holes, ["destination_host", "service_name"], "left_semi").unionByName(routes)
-        pairs = cut(near.select(F.col("source_host").alias("src"), F.col("destination_host").alias("dst")).distinct())
-        narrow = access.join(pairs.select(F.col("src").alias("source_host"), F.col("dst").alias("destination_host")), ["source_host", "destination_host"], "left_semi")
-        now = cut(rules.exploit_edges(new, narrow))
-        gone = self._edges.join(pairs, ["src", "dst"], "left_semi").join(now, ["src", "dst"], "left_anti")
-        edges = cut(self._edges.join(pairs, ["src", "dst"], "left_anti").unionByName(now))
-        reached = self._repaired(rules.starts(old), rules.starts(new), gone, edges, self._edges)
-        # executions on hosts whose flaws, reach or ways in changed
-        changed = reached.exceptAll(self._reach).unionByName(self._reach.exceptAll(reached))
-        out = both.join(changed.select(F.col("host").alias("source_host")).distinct(), "source_host", "left_semi").select(F.col("destination_host").alias("h"))
-        named = of("vulExists", "localVulExists").select(arg(0).alias("h")).unionByName(of("attackerLocated").select(arg(1).alias("h"))).unionByName(routes.select(F.col("destination_host").alias("h")))
-        hosts = cut(changed.select(F.col("host").alias("h")).unionByName(out).unionByName(named).distinct())
-        at = hosts.withColumnRenamed("h", "compromised_host")
-        keep = self._exec.join(at, "compromised_host", "left_anti").select(*self._exec.columns)
-        here = lambda df, c: df.join(hosts.withColumnRenamed("h", c), c, "left_semi")
-        part = FactStore(here(new.vulnerabilities, "host_name"), here(new.local_vulnerabilities, "host_name"), new.network_access, new.firewall_rules, here(new.attacker_positions, "starting_host"), new.attacker_goals)
-        again = rules.exec_code(part, True, reached, here(access, "destination_host"))
-        self._exec = cut(keep.unionByName(again))
-        self._counts, self._access, self._edges, self._reach = counts, access, edges, reached
-
-    def _repaired(self, old_starts: DataFrame, new_starts: DataFrame, gone: DataFrame, edges: DataFrame, old_edges: DataFrame) -> DataFrame:
-        lost = self._reach.join(gone, self._reach.host == gone.src).select("attacker_id", F.col("dst").alias("host"))
-        lost = lost.unionByName(old_starts.join(new_starts, PAIR, "left_anti")).join(new_starts, PAIR, "left_anti").distinct()
-        frontier = over = cut(lost)
-        total = self._reach.count()
+        if kinds & {"hacl", "firewallDeny"}:
+            routes = cut(routes)
+            there = sent(routes)
+            part = new.with_relation("hacl", new.network_access.join(there, rules.ROUTE, "left_semi")).with_relation("firewallDeny", new.firewall_rules.join(there.withColumnRenamed("source_host", "source_zone"), ["source_zone", *rules.ROUTE[1:]], "left_semi"))
+            access = access.join(there, rules.ROUTE, "left_anti").unionByName(cut(rules.effective_access(part)))
+        if kinds & {"hacl", "firewallDeny", "vulExists"}:
+            # on touched routes and on routes to touched (host, service)
+            holes = sent(of("vulExists").select(arg(0).alias("destination_host"), arg(2).alias("service_name")).distinct())
+            near = [a.join(holes, ["destination_host", "service_name"], "left_semi").select("source_host", "destination_host") for a in (self._access, access)]
+            ends = cut(_union([*near, routes.select("source_host", "destination_host")]).distinct())
+            these = sent(ends)
+            pairs = these.select(F.col("source_host").alias("src"), F.col("destination_host").alias("dst"))
+            now = cut(rules.exploit_edges(new, access.join(these, ["source_host", "destination_host"], "left_semi")))
+            was = cut(self._edges.join(pairs, ["src", "dst"], "left_semi").select("src", "dst"))
+            gone, added = cut(was.join(now, ["src", "dst"], "left_anti")), cut(now.join(was, ["src", "dst"], "left_anti"))
+            if gone.isEmpty() and added.isEmpty():
+                gone = added = None
+            else:
+                edges = edges.join(pairs, ["src", "dst"], "left_anti").select("src", "dst").unionByName(now)
+        moved = None
+        if "attackerLocated" in kinds:
+            a, b = rules.starts(old), rules.starts(new)
+            moved = a.join(b, PAIR, "left_anti").unionByName(b.join(a, PAIR, "left_anti")).select("attacker_id")
+        reached, affected = self._reach, None
+        if gone is not None or moved is not None:
+            few = edges.limit(self.small_edges + 1).count() <= self.small_edges
+            reached, affected = (self._again if few else self._repaired)(old, new, gone, added, edges, moved)
+        # executions: all of attackers whose pairs changed, for the others those on hosts that the update names
+        fresh, keep = [], self._exec
+        if affected is not None:
+            own = sent(affected)
+            mine = new.with_relation("attackerLocated", new.attacker_positions.join(own, "attacker_id", "left_semi"))
+            fresh.append(rules.exec_code(mine, True, reached.join(own, "attacker_id", "left_semi").select(*PAIR), access))
+            keep = keep.join(own, "attacker_id", "left_anti")
+        hosts = of("vulExists", "localVulExists").select(arg(0).alias("h")).unionByName(of("attackerLocated").select(arg(1).alias("h"))).unionByName(routes.select(F.col("destination_host").alias("h")))
+        hosts = sent(cut(hosts.distinct()))
+        here = lambda df, c: df.join(hosts.withColumnRenamed("h", c), c, "left_semi").select(*df.columns)
+        others = (lambda df: df) if affected is None else (lambda df: df.join(own, "attacker_id", "left_anti").select(*df.columns))
+        part = FactStore(here(new.vulnerabilities, "host_name"), here(new.local_vulnerabilities, "host_name"), new.network_access, new.firewall_rules, here(others(new.attacker_positions), "starting_host"), new.attacker_goals)
+        fresh.append(rules.exec_code(part, True, others(reached), here(access, "destination_host")))
+        keep = keep.join(hosts.withColumnRenamed("h", "compromised_host"), "compromised_host", "left_anti").select(*self._exec.columns)
+        self._exec = keep.unionByName(cut(_union(fresh)))
+        self._store, self._access, self._edges, self._reach = new, access, edges, reached
+        self._layers += 1
+        if self._layers >= LAYERS:
+            self._store, self._layers = _written(new), 0
+            self._access, self._edges, self._reach, self._exec = map(cut, (self._access, self._edges, self._reach, self._exec))
+
+    def _again(self, old: FactStore, new: FactStore, gone: DataFrame | None, added: DataFrame | None, edges: DataFrame, moved: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Pairs after the attackers that the update can touch are searched again, and those attackers."""
+        touched = [] if moved is None else [moved]
+        if gone is not None:
+            ends = sent(cut(gone.select("src").union(added.select("src")).distinct()))
+            touched.append(self._reach.join(ends, self._reach.host == ends.src, "left_semi").select("attacker_id"))
+        affected = cut(_union(touched).distinct())
+        own = sent(affected)
+        self.repairs.append("attackers")
+        fresh = cut(self._searched(rules.starts(new).join(own, "attacker_id", "left_semi").select(*PAIR), edges))
+        return self._reach.join(own, "attacker_id", "left_anti").select(*PAIR).unionByName(fresh), affected
+
+    def _repaired(self, old: FactStore, new: FactStore, gone: DataFrame | None, added: DataFrame | None, edges: DataFrame, moved: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Pairs after those that lost their support are gone and new ones are derived, and the attackers that have either."""
+        starts, before = rules.starts(new), rules.starts(old)
+        lost = before.join(starts, PAIR, "left_anti").select(*PAIR)
+        if gone is not None:
+            lost = lost.unionByName(self._reach.join(sent(gone), self._reach.host == gone.src).select("attacker_id", F.col("dst").alias("host")))
+        frontier = over = cut(lost.distinct().join(starts, PAIR, "left_anti"))
         while not frontier.isEmpty():
-            if over.count() > self.give_up * total:
+            if over.count() > self.give_up * self._pairs:
                 self.repairs.append("recompute")
-                return cut(rules.reach(new_starts, edges).select(*PAIR))
-            step = frontier.join(old_edges, frontier.host == old_edges.src).select("attacker_id", F.col("dst").alias("host")).distinct()
-            frontier = cut(step.join(over, PAIR, "left_anti").join(new_starts, PAIR, "left_anti"))
+                return cut(self._searched(starts, edges)), cut(self._reach.select("attacker_id").union(starts.select("attacker_id")).distinct())
+            step = frontier.join(self._edges, frontier.host == self._edges.src).select("attacker_id", F.col("dst").alias("host")).distinct()
+            frontier = cut(step.join(over, PAIR, "left_anti").join(starts, PAIR, "left_anti"))
             over = cut(over.unionByName(frontier))
         self.repairs.append("repair")
-        standing = cut(self._reach.join(over, PAIR, "left_anti").unionByName(new_starts).distinct())
+        standing = self._reach.join(sent(over), PAIR, "left_anti").select(*PAIR)
         # what stands derives lost pairs again; new starts and new edges derive new ones
-        fresh = standing.join(edges, standing.host == edges.src).select("attacker_id", F.col("dst").alias("host"))
-        frontier = cut(fresh.distinct().join(standing, PAIR, "left_anti"))
+        begun = starts.join(before, PAIR, "left_anti").select(*PAIR)
+        held = standing.unionByName(begun)
+        into = [held.join(edges.join(sent(over.select(F.col("host").alias("dst")).distinct()), "dst", "left_semi"), held.host == F.col("src")).select("attacker_id", F.col("dst").alias("host"))]
+        if added is not None:
+            into.append(held.join(sent(added), held.host == F.col("src")).select("attacker_id", F.col("dst").alias("host")))
+        if moved is not None:
+            into.append(begun.join(edges, begun.host == edges.src).select("attacker_id", F.col("dst").alias("host")))
+            into.append(begun)
+        frontier = more = cut(_union(into).distinct().join(standing, PAIR, "left_anti"))
         for _ in range(self.max_rounds):
             if frontier.isEmpty():
-                return standing
-            standing = cut(standing.unionByName(frontier))
+                affected = cut(over.select("attacker_id").union(more.select("attacker_id")).distinct())
+                return standing.unionByName(more), affected
             step = frontier.join(edges, frontier.host == edges.src).select("attacker_id", F.col("dst").alias("host")).distinct()
-            frontier = cut(step.join(standing, PAIR, "left_anti"))
+            frontier = cut(step.join(standing, PAIR, "left_anti").join(more, PAIR, "left_anti"))
+            more = cut(more.unionByName(frontier))
         raise RuntimeError(f"no fixpoint after {self.max_rounds} rounds")

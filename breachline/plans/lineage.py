@@ -1,20 +1,32 @@
-"""Cutting lineage between the rounds of a loop."""
+"""Cutting lineage between the rounds of a loop, and sending small tables to all executors."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of at most this many rows (of a few names each) are sent to all executors.
+SENT_ROWS = 200_000
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir; a fresh local folder only where it is unset, as in tests."""
+    """Use spark.checkpoint.dir. Where it is unset, a fresh folder in local mode (tests), an error else."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="breachline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="breachline-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that it survives lost executors."""
     checkpoint_ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sent(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """df, marked for broadcast when it has at most so many rows (counted)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
