@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from breachline.functions import topologies as topo
 from breachline.operators import metrics, rules, updates
 from breachline.operators.provenance import proof_edges
-from breachline.plans.engines import IncrementalEngine
-from breachline.plans.facts import FactStore
+from breachline.plans.engines import Engine, IncrementalEngine, RecomputeEngine
+from breachline.plans.facts import FactStore, fact_text
 from breachline.plans.lineage import cut
 from breachline.sources.facts_text import parsed
 from breachline.sources.tables import VIEWS, table_store
@@ -95,8 +95,10 @@ def exploit_edges(spark: SparkSession, d: str) -> DataFrame:
     return rules.exploit_edges(table_store(spark, d))
 
 
-_WALK = "walk(attacker_id, host, round) AS (SELECT attacker_id, starting_host, 0::BIGINT FROM pos UNION SELECT w.attacker_id, e.dst, w.round + 1 FROM walk w JOIN edge e ON e.src = w.host WHERE w.round < 60)"
-_REACH = _with("SELECT attacker_id, host, min(round) AS round FROM walk GROUP BY ALL", PROGRAM, _EDGES, _WALK)
+# keyed by pair: a pair that is there already doesn't come again, so the walk ends whatever the depth
+_WALK = """walk(attacker_id, host, round) USING KEY (attacker_id, host) AS (SELECT DISTINCT attacker_id, starting_host, 0::BIGINT FROM pos UNION
+  SELECT DISTINCT w.attacker_id, e.dst, w.round + 1 FROM walk w JOIN edge e ON e.src = w.host WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.attacker_id = w.attacker_id AND r.host = e.dst))"""
+_REACH = _with("SELECT attacker_id, host, round FROM walk", PROGRAM, _EDGES, _WALK)
 
 
 @query("reach_hosts", _REACH)
@@ -135,6 +137,12 @@ for _k in (0, 1, 3):
     SQL[f"exec_code_hops_{_k}"] = _hops_sql(_k)
 
 
+@query("goals_hops_3", _hops_sql(3).replace("SELECT attacker_id, compromised_host, obtained_privilege FROM x3", "SELECT g.attacker_id, g.target_host_name AS reached_target, count(*) AS copies FROM goal g JOIN (SELECT DISTINCT attacker_id, compromised_host FROM x3 WHERE obtained_privilege = 'root') o ON o.attacker_id = g.attacker_id AND o.compromised_host = g.target_host_name GROUP BY ALL"))
+def goals_hops_3(spark: SparkSession, d: str) -> DataFrame:
+    """Goals within three hops, as often as they are stated."""
+    return rules.evaluate_hops(table_store(spark, d), 3).goals_reached.groupBy("attacker_id", "reached_target").agg(F.count("*").alias("copies"))
+
+
 @query("owns_machine", _with("SELECT * FROM own", PROGRAM))
 def owns_machine(spark: SparkSession, d: str) -> DataFrame:
     return rules.evaluate(table_store(spark, d)).machines_owned
@@ -180,11 +188,9 @@ def host_census(spark: SparkSession, d: str) -> DataFrame:
 
 # Updates: each as a change log over the tables, and as SQL over the updated relations.
 def _log(df: DataFrame, op: str, predicate: str, *columns: str) -> DataFrame:
-    """A change log of the rows of df, numbered in the order of their columns."""
-    from pyspark.sql import Window
-
+    """A change log of the rows of df; the order of rows of one kind doesn't matter, so their numbers are hashes."""
     args = F.array(*[F.col(c).cast("string") for c in columns])
-    seq = F.row_number().over(Window.partitionBy(F.lit(op)).orderBy(*columns)).cast("long")
+    seq = F.pmod(F.xxhash64(*columns), F.lit(1_000_000))
     return df.select(seq.alias("seq"), F.lit(op).alias("op"), F.lit(predicate).alias("predicate"), args.alias("args"))
 
 
@@ -221,8 +227,8 @@ _UPDATED = {
 }
 
 
-def _updated(spark: SparkSession, d: str, name: str):
-    engine = IncrementalEngine()
+def _updated(spark: SparkSession, d: str, name: str, engine: Engine | None = None):
+    engine = engine or IncrementalEngine()
     engine.load_snapshot(table_store(spark, d))
     before = engine.current_derived_facts()
     engine.apply_updates(_UPDATED[name][0](table_store(spark, d)))
@@ -243,13 +249,25 @@ for _u in _UPDATED:
 
 
 def _feed(spark: SparkSession, d: str, name: str) -> DataFrame:
-    from breachline.plans.facts import fact_text
-
     before, after = _updated(spark, d, name)
     feed = updates.change_feed(before, after, 1)
     return feed.select("time", fact_text(F.col("predicate"), F.col("args")).alias("fact"), "diff")
 
 
+@query("exec_after_patch_recomputed", SQL["exec_after_patch"])
+def exec_after_patch_recomputed(spark: SparkSession, d: str) -> DataFrame:
+    """The same update by the engine that evaluates everything anew."""
+    return _updated(spark, d, "patch", RecomputeEngine())[1].code_executions
+
+
+@query("positive_records", _with(f"SELECT predicate, fact FROM ({_facts_sql('2')}) WHERE predicate <> 'effectiveAccess'", PROGRAM, _program(**_UPDATED["patch"][1], tag="2")))
+def positive_records(spark: SparkSession, d: str) -> DataFrame:
+    """What the feed of a load and of a patch leaves, as a set: the state after both."""
+    before, after = _updated(spark, d, "patch")
+    left = updates.positive(updates.change_feed(None, before, 0).unionByName(updates.change_feed(before, after, 1)))
+    return left.select("predicate", fact_text(F.col("predicate"), F.col("args")).alias("fact"))
+
+
 for _u in ("patch", "deny"):
     QUERIES[f"change_feed_{_u}"] = lambda spark, d, u=_u: _feed(spark, d, u)
     SQL[f"change_feed_{_u}"] = _diff_sql(_u, "SELECT 1::BIGINT AS time, fact, diff FROM diff WHERE predicate <> 'effectiveAccess'")
@@ -309,16 +327,42 @@ def state_as_of(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 'goalReached(' || attacker_id || ', ' || reached_target || ')', 'goal_reached_from_goal_and_ownership', 1, 'ownsMachine(' || attacker_id || ', ' || reached_target || ')' FROM got
   UNION ALL SELECT 'ownsMachine(' || attacker_id || ', ' || owned_host || ')', 'ownership_from_root_exec_code', 0, 'execCode(' || attacker_id || ', ' || owned_host || ', root)' FROM own""", PROGRAM))
 def proof_edges_goal(spark: SparkSession, d: str) -> DataFrame:
-    from breachline.plans.facts import fact_text
+    return _shown_edges(proof_edges(table_store(spark, d)).filter(F.col("predicate").isin("goalReached", "ownsMachine")))
 
-    edges = proof_edges(table_store(spark, d)).filter(F.col("predicate").isin("goalReached", "ownsMachine"))
+
+def _shown_edges(edges: DataFrame) -> DataFrame:
     return edges.select(fact_text(F.col("predicate"), F.col("args")).alias("fact"), "rule", "place", fact_text(F.col("premise"), F.col("premise_args")).alias("premise"))
 
 
-@query("proof_edges_exec")
+_RANKED = """way AS (SELECT DISTINCT e.source_host, v.host_name, v.privilege FROM eff e JOIN vul v ON v.host_name = e.destination_host AND v.affected_service = e.service_name),
+  held AS (SELECT attacker_id, host, priv, min(rank) AS rank FROM (SELECT attacker_id, starting_host AS host, initial_privilege AS priv, 0 AS rank FROM pos
+    UNION ALL SELECT w.attacker_id, y.host_name, y.privilege, 2 * (w.round + 1) FROM walk w JOIN way y ON y.source_host = w.host) GROUP BY ALL),
+  ranked AS (SELECT attacker_id, host, priv, min(rank) AS rank FROM (SELECT * FROM held UNION ALL SELECT h.attacker_id, h.host, l.privilege, h.rank + 1 FROM held h JOIN lvul l ON l.host_name = h.host AND l.privilege <> h.priv WHERE h.priv <> 'root') GROUP BY ALL),
+  step AS (
+    SELECT attacker_id, starting_host AS host, initial_privilege AS priv, 0 AS kind, '' AS cve, '' AS service, '' AS source, '' AS gate FROM pos
+    UNION ALL SELECT f.attacker_id, f.host, f.priv, 1, l.vulnerability_id, '', f.host, g.priv FROM ranked f JOIN lvul l ON l.host_name = f.host AND l.privilege = f.priv JOIN ranked g ON g.attacker_id = f.attacker_id AND g.host = f.host AND g.priv <> 'root' AND g.priv <> f.priv AND g.rank < f.rank
+    UNION ALL SELECT f.attacker_id, f.host, f.priv, 2, v.vulnerability_id, v.affected_service, e.source_host, g.priv FROM ranked f JOIN vul v ON v.host_name = f.host AND v.privilege = f.priv
+      JOIN eff e ON e.destination_host = v.host_name AND e.service_name = v.affected_service JOIN ranked g ON g.attacker_id = f.attacker_id AND g.host = e.source_host AND g.rank < f.rank
+  ), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY attacker_id, host, priv ORDER BY kind, cve, service, source, CASE gate WHEN 'none' THEN 0 WHEN 'user' THEN 1 ELSE 2 END) AS k FROM step) WHERE k = 1),
+  shown AS (SELECT *, 'execCode(' || attacker_id || ', ' || host || ', ' || priv || ')' AS fact FROM best)"""
+
+
+@query("proof_edges_exec", _with("""SELECT fact, 'initial_exec_code_from_attacker_location' AS rule, 0::BIGINT AS place, 'attackerLocated(' || attacker_id || ', ' || host || ', ' || priv || ')' AS premise FROM shown WHERE kind = 0
+  UNION ALL SELECT fact, 'exec_code_from_local_privilege_escalation', 0, 'execCode(' || attacker_id || ', ' || host || ', ' || gate || ')' FROM shown WHERE kind = 1
+  UNION ALL SELECT fact, 'exec_code_from_local_privilege_escalation', 1, 'localVulExists(' || host || ', ' || cve || ', ' || priv || ')' FROM shown WHERE kind = 1
+  UNION ALL SELECT fact, 'exec_code_from_network_reachability_and_vulnerability', 0, 'execCode(' || attacker_id || ', ' || source || ', ' || gate || ')' FROM shown WHERE kind = 2
+  UNION ALL SELECT fact, 'exec_code_from_network_reachability_and_vulnerability', 1, 'effectiveAccess(' || source || ', ' || host || ', ' || service || ')' FROM shown WHERE kind = 2
+  UNION ALL SELECT fact, 'exec_code_from_network_reachability_and_vulnerability', 2, 'vulExists(' || host || ', ' || cve || ', ' || service || ', ' || priv || ')' FROM shown WHERE kind = 2""", PROGRAM, _EDGES, _WALK, _RANKED))
 def proof_edges_exec(spark: SparkSession, d: str) -> DataFrame:
-    """The chosen step of every execution; which one is chosen depends on ranks, so there is no plain SQL."""
-    return proof_edges(table_store(spark, d)).filter("predicate = 'execCode'")
+    """The chosen step of every execution."""
+    return _shown_edges(proof_edges(table_store(spark, d)).filter("predicate = 'execCode'"))
+
+
+@query("proof_edges_access", _with("""SELECT 'effectiveAccess(' || source_host || ', ' || destination_host || ', ' || service_name || ')' AS fact, 'effective_access_from_hacl_without_firewall_deny' AS rule, 0::BIGINT AS place,
+  'hacl(' || source_host || ', ' || destination_host || ', ' || service_name || ')' AS premise FROM eff""", PROGRAM))
+def proof_edges_access(spark: SparkSession, d: str) -> DataFrame:
+    """Why each effective access holds."""
+    return _shown_edges(proof_edges(table_store(spark, d)).filter("predicate = 'effectiveAccess'"))
 
 
 # Generated networks.
@@ -391,6 +435,14 @@ def parsed_facts(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d).filter("error IS NULL").select("line_number", "op", "predicate", F.array_join("args", "|").alias("args"))
 
 
+@query("parsed_updates", "SELECT n_nationkey::BIGINT AS line_number, CASE WHEN n_nationkey % 2 = 0 THEN 'remove' ELSE 'insert' END AS op, 'hacl' AS predicate, 'h' || n_nationkey || '|web|https' AS args FROM nation")
+def parsed_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Updates in text form: removals are wrapped, all others insert."""
+    fact = "concat('hacl(h', n_nationkey, ', web, https)')"
+    lines = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("line_number"), F.expr(f"CASE WHEN n_nationkey % 2 = 0 THEN concat(' remove( ', {fact}, ' ).') ELSE concat({fact}, '.') END").alias("line"))
+    return parsed(lines, True).filter("error IS NULL").select("line_number", "op", "predicate", F.array_join("args", "|").alias("args"))
+
+
 @query("parse_errors", """SELECT (n_nationkey * 8 + k + 1)::BIGINT AS line_number, e AS error FROM nation CROSS JOIN (VALUES (3, 'fact must end with a period'), (4, 'predicate attackGoal expects 2 arguments, found 1'), (5, 'invalid privilege value: admin'), (6, 'unknown predicate: odd'), (7, 'malformed fact: a,,c')) t(k, e)""")
 def parse_errors(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d).filter("error IS NOT NULL").select("line_number", "error")
