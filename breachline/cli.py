@@ -1,4 +1,4 @@
-"""Command line: evaluate a scenario file, apply an update file, explain a goal, run benchmarks."""
+"""Command line: evaluate a scenario file, apply an update file, explain a goal, run benchmarks; without arguments, a demonstration."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from breachline.functions import benchmarks as bench
+from breachline.functions import demo
 from breachline.functions.dot import write_proof
 from breachline.operators.provenance import Explainer
 from breachline.operators.updates import change_feed
@@ -52,10 +53,22 @@ def run_scenario(spark: SparkSession, scenario: str, update: str | None = None,
             write_proof(tree, dot)
 
 
-def run_benchmarks(spark: SparkSession, csv_path: str | None = None) -> list[bench.Row]:
-    rows = [bench.star_benchmark(spark, n) for n in (50, 100, 200, 500, 1000)] + bench.scalability(spark, [10, 50, 100, 200])
-    rows += [bench.random_cut_benchmark(spark, n, 5)[0] for n in (50, 100)] + bench.enterprise_benchmark(spark)
-    print(bench.to_markdown(rows))
+def run_demo(spark: SparkSession) -> None:
+    """Print what each phase of the demonstration changes."""
+    for time, title, _, feed in demo.run(spark):
+        print(f"PHASE {time + 1} (time={time}): {title}")
+        _print(feed)
+
+
+def run_benchmarks(spark: SparkSession, csv_path: str | None = None, cuts: int = 5, sizes: tuple[int, ...] = (50, 100, 200, 500)) -> list[bench.Row]:
+    """Time generated networks; ``cuts`` random patches of a chain of each size."""
+    plain = [bench.star_benchmark(spark, n) for n in (50, 100, 200, 500, 1000)] + bench.scalability(spark, [10, 50, 100, 200])
+    random_cuts = [bench.random_cut_benchmark(spark, n, cuts) for n in sizes]
+    enterprise = bench.enterprise_benchmark(spark)
+    print(bench.size_table(plain))
+    print(bench.random_cut_table(random_cuts))
+    print(bench.enterprise_table(enterprise))
+    rows = plain + [row for row, _ in random_cuts] + enterprise
     if csv_path:
         Path(csv_path).write_text(bench.to_csv(rows), encoding="utf-8")
     return rows
@@ -69,14 +82,15 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--export-dot", help="file for the proof")
     parser.add_argument("--benchmarks", action="store_true", help="time generated networks")
     parser.add_argument("--csv", help="file for benchmark results")
+    parser.add_argument("--cuts", type=int, default=5, help="random patches of each chain (published figures: 100)")
     own = parser.parse_args(args)
     spark = SparkSession.builder.appName("breachline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if own.benchmarks:
-        run_benchmarks(spark, own.csv)
+        run_benchmarks(spark, own.csv, own.cuts)
     elif own.scenario:
         run_scenario(spark, own.scenario, own.update, own.explain, own.export_dot)
     else:
-        parser.error("--scenario or --benchmarks is needed")
+        run_demo(spark)
 
 
 if __name__ == "__main__":

@@ -87,19 +87,26 @@ def enterprise_benchmark(spark: SparkSession, config: topo.Enterprise = topo.Ent
 
 def random_cut_benchmark(spark: SparkSession, n: int, times: int, seed: int = 1) -> tuple[Row, list[float]]:
     """Patch and restore random hosts of a chain; the row has means, the list each incremental time in seconds."""
-    r, steps, anew = random.Random(seed), [], []
+    r, steps, anew, counts = random.Random(seed), [], [], []
     engine = IncrementalEngine()
     initial = _timed(lambda: engine.load_snapshot(topo.chain(spark, n)))
+    before = derived_count(engine.current_derived_facts())
     for _ in range(times):
         k = r.randrange(n)
         fact = (f"node_{k}", f"CVE-CHAIN-{k}", "ssh", "root")
-        steps.append(_timed(lambda fact=fact: (engine.apply_updates(change_log(spark, [("remove", "vulExists", fact)])), derived_count(engine.current_derived_facts()))))
+
+        def patched(fact=fact) -> None:
+            engine.apply_updates(change_log(spark, [("remove", "vulExists", fact)]))
+            counts.append(derived_count(engine.current_derived_facts()))
+
+        steps.append(_timed(patched))
         other = RecomputeEngine()
         other.load_snapshot(engine.facts())
         anew.append(_timed(lambda other=other: derived_count(other.current_derived_facts())))
         engine.apply_updates(change_log(spark, [("insert", "vulExists", fact)]))
     mean, again = sum(steps) / times, sum(anew) / times
-    return Row("chain_random_cut_benchmark", "chain_random_cut", n, n - 1, n, "random_vulnerability_cut_average", initial * 1e3, mean * 1e6, again * 1e3, again / mean, 0, 0), steps
+    row = Row("chain_random_cut_benchmark", "chain_random_cut", n, n - 1, n, "random_vulnerability_cut_average", initial * 1e3, mean * 1e6, again * 1e3, again / mean, before, round(sum(counts) / times))
+    return row, steps
 
 
 def scalability(spark: SparkSession, sizes: list[int]) -> list[Row]:
@@ -123,6 +130,38 @@ def to_markdown(rows: list[Row]) -> str:
     )
 
 
+def _table(heads: str, lines: list[list[str]]) -> str:
+    """A Markdown table of lines under comma-separated heads."""
+    names = heads.split(", ")
+    rows = [f"| {' | '.join(names)} |", f"|{'|'.join('---:' for _ in names)}|", *(f"| {' | '.join(line)} |" for line in lines)]
+    return "\n".join(rows) + "\n"
+
+
+def _times(row: Row) -> list[str]:
+    return [f"{row.initial_time_ms:.2f}", f"{row.incremental_update_us:.2f}", f"{row.full_recomputation_ms:.2f}"]
+
+
+def size_table(rows: list[Row]) -> str:
+    """One update on networks of several sizes."""
+    gain = lambda r: f"{r.initial_time_ms * 1e3 / r.incremental_update_us:.1f}x"
+    return _table("Nodes, Initial (ms), Incremental (us), Recompute After Update (ms), Initial Speedup, Recompute Speedup, Facts Before, Facts After", [[str(r.number_of_nodes), *_times(r), gain(r), f"{r.speedup:.1f}x", str(r.derived_facts_before), str(r.derived_facts_after)] for r in rows])
+
+
+def random_cut_table(results: list[tuple[Row, list[float]]]) -> str:
+    """Random patches: means, and the fastest and slowest of all."""
+    lines = []
+    for row, steps in results:
+        spread = [f"{min(steps) * 1e6:.2f}", f"{max(steps) * 1e6:.2f}"]
+        lines.append([str(row.number_of_nodes), str(len(steps)), *_times(row), *spread, f"{row.initial_time_ms * 1e3 / row.incremental_update_us:.1f}x", f"{row.speedup:.1f}x"])
+    return _table("Nodes, Iterations, Initial (ms), Avg Incr (us), Avg Recompute (ms), Min (us), Max (us), Avg Speedup, Recompute Speedup", lines)
+
+
+def enterprise_table(rows: list[Row]) -> str:
+    """Updates of the layered network, with what they change."""
+    lines = [[r.update_type, str(r.number_of_nodes), str(r.number_of_edges), str(r.number_of_vulnerabilities), str(r.changed_base_facts), *_times(r), f"{r.speedup:.1f}x", str(r.derived_facts_before), str(r.derived_facts_after), str(r.changed_derived_facts)] for r in rows]
+    return _table("Update, Nodes, Edges, Vulns, Changed Base, Initial (ms), Incremental (us), Recompute (ms), Recompute Speedup, Facts Before, Facts After, Changed Facts", lines)
+
+
 def to_latex(rows: list[Row]) -> str:
     body = "".join(f"{r.number_of_nodes} & {r.initial_time_ms:.2f} & {r.incremental_update_us:.2f} & {r.speedup:.1f}x \\\\\n" for r in rows)
     return "\\begin{tabular}{|r|r|r|r|}\n\\hline\nNodes & Initial (ms) & Incremental ($\\mu$s) & Speedup \\\\\n\\hline\n" + body + "\\hline\n\\end{tabular}\n"

@@ -149,9 +149,30 @@ def test_cli(spark, tmp_path, capsys):
     assert "  [t=1] - execCode(eve, web, root)" in capsys.readouterr().out
 
 
+def test_demo(spark, capsys):
+    """The four states of the demonstration, as derived from the rules by hand."""
+    from breachline.functions import demo
+
+    got = [state(s) for _, _, s, _ in demo.run(spark)]
+    loaded = {("eve", "internet", "user"), ("eve", "web01", "user"), ("eve", "db01", "user"), ("eve", "db01", "root"), ("eve", "admin01", "root")}
+    assert [s["execCode"] for s in got] == [loaded, loaded, {("eve", "internet", "user")}, loaded]
+    assert [len(s["ownsMachine"]) for s in got] == [2, 2, 0, 2] and [len(s["goalReached"]) for s in got] == [1, 1, 0, 1]
+    cli.run_demo(spark)
+    said = capsys.readouterr().out
+    assert "  [t=2] - goalReached(eve, admin01) (TARGET COMPROMISED)" in said and "[t=1]" not in said and said.count("PHASE") == 4
+
+
+def test_random_cut(spark):
+    row, steps = benchmarks.random_cut_benchmark(spark, 6, 2)
+    assert len(steps) == 2 and row.derived_facts_before == 13 and 0 < row.derived_facts_after < 13
+    lines = benchmarks.random_cut_table([(row, steps)]).splitlines()
+    assert len({x.count("|") for x in lines}) == 1 and lines[2].startswith("| 6 | 2 |")
+
+
 def test_benchmark_tables(spark):
     row = benchmarks.star_benchmark(spark, 5)
     assert (row.derived_facts_before, row.derived_facts_after, row.affected_hosts, row.changed_derived_facts) == (13, 11, 1, 2)
     text = benchmarks.to_csv([row, benchmarks.Row("a,b", 'c"d', 1, 2, 3, "u", 1.0, 2.0, 3.0, 4.0, 5, 6)])
     assert text.splitlines()[2] == '"a,b","c""d",1,2,3,u,1.000000,2.000000,3.000000,4.000000,5,6,,,,,,,'
+    assert len({x.count("|") for x in benchmarks.size_table([row]).splitlines()}) == len({x.count("|") for x in benchmarks.enterprise_table([row]).splitlines()}) == 1
     assert "patch_one_leaf_vulnerability" in benchmarks.to_markdown([row]) and "\\hline" in benchmarks.to_latex([row]) and json.dumps(benchmarks.summary(row))
