@@ -274,3 +274,34 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = LEAST, id
     n_lines: Column = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
     out = [(F.when(F.col("n") > 0, F.col("cut")).otherwise(text) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(*out, n_lines.alias("n_lines"), F.col("n").alias("n_dropped"))
+
+
+#: Templates as strings. Documents with one id each, as in the table.
+SQL = rf"""
+WITH l AS (
+  SELECT doc_id, k AS line, list_filter(regexp_split_to_array(ls[k + 1], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL))
+), t AS (
+  SELECT doc_id, line, len(w) AS n, array_to_string(w, ' ') AS w, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m FROM l WHERE len(w) > 0
+), e AS (SELECT w, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM t GROUP BY w),
+h AS (SELECT n, array_to_string(m, ' ') AS m, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM t WHERE n >= {LEAST} GROUP BY ALL),
+plain AS (
+  SELECT DISTINCT doc_id, line FROM t JOIN e USING (w) WHERE docs >= 2 AND first < doc_id
+  UNION SELECT doc_id, line FROM t JOIN h ON h.n = t.n AND h.m = array_to_string(t.m, ' ') WHERE docs >= {MIN_DOCS} AND first < doc_id
+), leaf AS (
+  SELECT doc_id, line, w, m, n, hash(n, b, m[n * b // blocks + 1 : n * (b + 1) // blocks]) AS leaf
+  FROM (SELECT *, least(n, {BLOCKS}) AS blocks, unnest(range(least(n, {BLOCKS}))) AS b FROM t ANTI JOIN plain USING (doc_id, line) WHERE n >= {LEAST})
+), full_ AS (SELECT leaf FROM leaf GROUP BY leaf HAVING count(*) > 1),
+k AS (SELECT leaf, doc_id, line, n, w, unnest(range(n)) AS p, unnest(m) AS x FROM leaf SEMI JOIN full_ USING (leaf)),
+c AS (SELECT leaf, p, x, count(*) AS often FROM k GROUP BY ALL),
+r AS (SELECT k.*, row_number() OVER (PARTITION BY k.leaf, doc_id, line ORDER BY often, k.p) AS r FROM k JOIN c ON c.leaf = k.leaf AND c.p = k.p AND c.x = k.x),
+v AS (SELECT doc_id, line, w, n, v, string_agg(p || ' ' || x, ' ' ORDER BY p) AS rest FROM r JOIN (SELECT unnest(range(1, {FIELDS} + 1)) AS v) ON r > v AND v <= greatest(1, floor(n * {SHARE})) GROUP BY leaf, doc_id, line, w, n, v),
+s AS (SELECT n, rest, min(v.doc_id) AS first, count(DISTINCT o.doc_id) AS docs FROM (SELECT DISTINCT doc_id, w, n, rest FROM v) v JOIN (SELECT DISTINCT w, doc_id FROM t) o USING (w) GROUP BY n, rest),
+lost AS (SELECT doc_id, line FROM plain UNION SELECT v.doc_id, v.line FROM v JOIN s USING (n, rest) WHERE docs >= {MIN_DOCS} AND first < v.doc_id),
+kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY line) AS text, max(x SIMILAR TO '(.|\n)*[^\x20\x09-\x0D](.|\n)*') AS some FROM (
+  SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents SEMI JOIN lost USING (doc_id))) ANTI JOIN lost USING (doc_id, line) GROUP BY doc_id),
+gone AS (SELECT doc_id, count(*) AS n_dropped FROM lost GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN g.doc_id IS NULL THEN d.text WHEN k.some THEN k.text ELSE '' END AS text,
+       CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped
+FROM documents d LEFT JOIN gone g USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""

@@ -64,6 +64,7 @@ QUERIES = {f.__name__: f for f in (*_OPS, mixing_targets, quality_ablations)}
 ORACLES = {
     "op1_chat_formatting": chat.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
+    "op3_line_dedup": line_dedup.SQL,
     "op4_suffix_dedup": suffix_dedup.SQL,
     "op8_minhash_near_dedup": near_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
