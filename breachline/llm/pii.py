@@ -283,3 +283,27 @@ def digest(spans: DataFrame) -> DataFrame:
     """Counts and digests of the spans; n_spans counts all kinds."""
     every = F.aggregate(F.array(*map(F.size, (*KINDS, ADDED))), F.lit(0), lambda a, x: a + x)
     return spans.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in (*KINDS, ADDED)], every.cast("long").alias("n_spans"), F.sha2(_written(KINDS), 256).alias("base_sha256"), _written((*KINDS, ADDED)).alias("spans"))
+
+#: The base kinds by the patterns of their definition: name, pattern, condition on hit and its digits.
+_BASE_SQL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", "length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN digits[length(digits) - i]::INT WHEN digits[length(digits) - i]::INT > 4 THEN 2 * digits[length(digits) - i]::INT - 9 ELSE 2 * digits[length(digits) - i]::INT END)) % 10 = 0"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(digits) BETWEEN 9 AND 15"),
+)
+
+
+def _sql() -> str:
+    hits = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, '{n}' AS kind, regexp_extract_all(t, '{p}') AS hits, regexp_split_to_array(t, '{p}') AS gaps FROM d" for k, (n, p, _) in enumerate(_BASE_SQL))
+    valid = " ".join(f"WHEN '{n}' THEN {c}" for n, _, c in _BASE_SQL)
+    counts = ", ".join(f"count(*) FILTER (kind = '{n}') AS n_{n}" for n, _, _ in _BASE_SQL)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+h AS (SELECT doc_id, k, kind, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM ({hits})),
+s AS (SELECT doc_id, k, kind, hits[i] AS hit, regexp_replace(hits[i], '[^0-9]', '', 'g') AS digits, (length(array_to_string(gaps[1:i], '')) + length(array_to_string(hits[1:i - 1], '')))::BIGINT AS s FROM h),
+f AS (SELECT *, s + length(hit) AS e FROM s WHERE CASE kind {valid} END),
+c AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{n}, 0) AS n_{n}" for n, _, _ in _BASE_SQL)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN c USING (doc_id)"""
+
+
+#: For what the definition fixes: the spans that the method adds hang on the estimate.
+SQL = _sql()

@@ -54,13 +54,18 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6_pii says of the base kinds, apart from the spans that its estimate adds."""
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents"))).select("doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256")
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both policies over one stored ledger: what each of their rules rejects, alone and with others."""
     return quality_rules.policy_report(table(spark, sf_dir, "documents"))
 
 
 _OPS = (op1_chat_formatting, op2_exact_dedup, op3_line_dedup, op4_suffix_dedup, op5_quality_classifier, op6_pii, op7_best_fit_packing, op8_minhash_near_dedup, op9_quality_rules, op10_mixing)
-QUERIES = {f.__name__: f for f in (*_OPS, mixing_targets, quality_ablations)}
+QUERIES = {f.__name__: f for f in (*_OPS, mixing_targets, pii_base, quality_ablations)}
 ORACLES = {
     "op1_chat_formatting": chat.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
@@ -69,5 +74,6 @@ ORACLES = {
     "op8_minhash_near_dedup": near_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
     "mixing_targets": mixing.SQL,
+    "pii_base": pii.SQL,
     "quality_ablations": quality_rules.REPORT_SQL,
 }
