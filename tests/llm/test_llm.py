@@ -596,3 +596,36 @@ def test_lines_brute(spark, monkeypatch, cells):
         cut[i, text, 0 if t is None else t.count("\n") + 1, len(gone)] += 1
     assert Counter((x.doc_id, x.text, x.n_lines, x.n_dropped) for x in got) == cut
     assert got[0].asDict().keys() == {"doc_id", "text", "lost", "hash", "row", "n_lines", "n_dropped"} and sum(map(len, want.values())) > 50
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """Repeated and null ids, equal rows, nulls in all columns, clashing names: rows go through all stages as rows."""
+    import corpus_pipeline
+
+    r = random.Random(31)
+    long = lambda n: " ".join(f"{r.choice(WORDS)}{r.choice('abcdefgh')}" for _ in range(n))
+    texts = [long(r.randint(60, 150)) + "." for _ in range(24)]
+    names = ["row", "id", "key", "hash", "n", "least", "copy", "i", "h", "s", "ti", "copies", "lost", "line", "n_lines", "n_dropped", "failed_bits", "held", "part", "length"]
+    schema = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
+    rows = [(i if i % 3 else None, t, r.choice(["a", "b", None]), len(t)) for i, t in enumerate(texts)]
+    rows += [(7, texts[3], "a", 1), (7, long(80), "a", None), (7, long(90), None, 3), rows[5], rows[5], (None, None, None, None), (50, None, "b", None), (51, "", "b", 0)]
+    frame = spark.createDataFrame([(*x, *[f"{c}{k}" if k % 2 else None for c in names]) for k, x in enumerate(rows)], schema).repartition(3)
+    at, kept = frame, {}
+    for name, stage in corpus_pipeline.STAGES:
+        again = Counter(map(str, stage(spark, at.repartition(5), "").collect()))
+        stage(spark, at, "").write.parquet(str(tmp_path / name))
+        at = spark.read.parquet(str(tmp_path / name))
+        kept[name] = at.collect()
+        assert name == "best_fit_packing" or (at.columns == frame.columns and again == Counter(map(str, kept[name])))
+    count = lambda name: Counter((x.doc_id, x.text) for x in kept[name])
+    assert sum(count("quality_rules").values()) == len(rows) - 3 and count("line_dedup").keys() <= count("quality_rules").keys()
+    near = count("minhash_near_dedup")
+    assert sum(n for (i, _), n in near.items() if i is None) == 8 and max(near.values()) == 1 and sum(n for (i, _), n in near.items() if i == 7) >= 3
+    # every row that the mix takes is there as often as its own decision says
+    made = Counter()
+    for x in mixing.decisions(spark.read.parquet(str(tmp_path / "minhash_near_dedup")), cut=False).collect():
+        made[x.doc_id, x.text_hash] += int(x.copies)
+    got = Counter((x.doc_id, x.hash_) for x in spark.read.parquet(str(tmp_path / "mixing")).select("doc_id", F.xxhash64("text").alias("hash_")).collect())
+    assert got == +made
+    pieces = Counter(x.doc_id for x in kept["best_fit_packing"] if x.piece == 0)
+    assert sum(pieces.values()) == sum(count("mixing").values())
