@@ -105,7 +105,9 @@ def _searched(starts: DataFrame, edges: pa.Table) -> DataFrame:
         if held:
             yield sent()
 
-    keyed = starts.distinct().repartition("attacker_id").sortWithinPartitions("attacker_id").select("attacker_id", "host")
+    # a number of its own: the few rows that go in would be put together in one task, whatever comes out
+    tasks = max(1, int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = starts.distinct().repartition(tasks, "attacker_id").sortWithinPartitions("attacker_id").select("attacker_id", "host")
     return keyed.mapInArrow(search, "attacker_id string, host string, round bigint")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from breachline.operators.fixpoint import reach
 from breachline.plans.facts import DERIVED, DerivedFacts, FactStore
-from breachline.plans.lineage import cut
+from breachline.plans.lineage import cut, sent
 
 ROUTE = ["source_host", "destination_host", "service_name"]
 
@@ -57,42 +57,50 @@ def reach_hosts(store: FactStore, access: DataFrame | None = None, **options) ->
     return reach(starts(store), exploit_edges(store, access), **options)
 
 
-def remote_exec(store: FactStore, reached: DataFrame, access: DataFrame | None = None) -> DataFrame:
-    """Positions, and what vulnerabilities give across open routes from reached hosts.
+def local_exec(store: FactStore, held: DataFrame) -> DataFrame:
+    """What local vulnerabilities give on hosts where some code runs without root."""
+    low = held.filter(F.col("obtained_privilege") != "root").select("attacker_id", "compromised_host").distinct()
+    local = store.local_vulnerabilities.select(F.col("host_name").alias("compromised_host"), F.col("privilege").alias("obtained_privilege")).distinct()
+    return low.join(local, "compromised_host").select(*DERIVED["execCode"])
+
+
+def exec_code(store: FactStore, local: bool = True, reached: DataFrame | None = None, access: DataFrame | None = None) -> DataFrame:
+    """Positions, what vulnerabilities give across open routes from reached hosts, and what local ones add; each once.
 
     Most hosts give the same privileges whichever way in is taken; for these it is enough that the
-    attacker got there. Sources are looked up only for the others, and for hosts where attackers start.
+    attacker got there, and what local flaws add is known per host. Sources are looked up only for the
+    others, and for hosts where attackers start.
     """
     access = effective_access(store) if access is None else access
+    reached = cut(reach_hosts(store, access)) if reached is None else reached
     steps = access.join(_holes(store), ["destination_host", "service_name"]).select("source_host", F.col("destination_host").alias("compromised_host"), F.col("privilege").alias("obtained_privilege")).distinct()
+    steps = cut(steps)
     ways = steps.groupBy("source_host", "compromised_host").agg(F.sort_array(F.collect_set("obtained_privilege")).alias("gives"))  # of three at most
-    even = ways.groupBy("compromised_host").agg(F.min("gives").alias("gives"), (F.min("gives") == F.max("gives")).alias("even"))
+    hosts = ways.groupBy("compromised_host").agg(F.min("gives").alias("gives"), (F.min("gives") == F.max("gives")).alias("even"))
+    if local:
+        flaws = store.local_vulnerabilities.groupBy(F.col("host_name").alias("compromised_host")).agg(F.collect_set("privilege").alias("adds"))
+        low = F.exists("gives", lambda p: p != "root")
+        more = F.when(low & F.col("adds").isNotNull(), F.array_union("gives", "adds")).otherwise(F.col("gives"))
+        hosts = hosts.join(flaws, "compromised_host", "left").select("compromised_host", more.alias("gives"), "even")
+    hosts = cut(hosts)
     pair = ["attacker_id", "compromised_host"]
-    at = reached.select("attacker_id", F.col("host").alias("compromised_host"))
     begun = starts(store).withColumnRenamed("host", "compromised_host")
-    plain = at.join(even.filter("even").drop("even"), "compromised_host").join(begun, pair, "left_anti").select(*pair, F.explode("gives").alias("obtained_privilege"))
+    at = reached.select("attacker_id", F.col("host").alias("compromised_host"))
+    plain = at.join(sent(hosts.filter("even").drop("even")), "compromised_host").join(sent(begun), pair, "left_anti").select(*pair, F.explode("gives").alias("obtained_privilege"))
     held = reached.select("attacker_id", F.col("host").alias("source_host"))
-    odd = held.join(steps.join(even.filter("NOT even"), "compromised_host", "left_semi"), "source_host").select(*DERIVED["execCode"])
-    back = begun.join(steps, "compromised_host").join(held, ["attacker_id", "source_host"], "left_semi").select(*DERIVED["execCode"])
-    return plain.unionByName(odd.unionByName(back).unionByName(initial_exec(store)).distinct())
-
-
-def local_exec(store: FactStore, held: DataFrame) -> DataFrame:
-    """What local vulnerabilities give on hosts where some code runs without root."""
-    low = held.filter(F.col("obtained_privilege") != "root").select("attacker_id", "compromised_host").distinct()
-    local = store.local_vulnerabilities.select(F.col("host_name").alias("compromised_host"), F.col("privilege").alias("obtained_privilege")).distinct()
-    return low.join(local, "compromised_host").select(*DERIVED["execCode"])
-
-
-def exec_code(store: FactStore, local: bool = True, reached: DataFrame | None = None, access: DataFrame | None = None) -> DataFrame:
-    reached = reach_hosts(store) if reached is None else reached
-    held = remote_exec(store, reached, access)
-    return held.unionByName(local_exec(store, held)).distinct() if local else held
+    back = sent(begun.join(steps, "compromised_host"))
+    rest = initial_exec(store).unionByName(held.join(back, ["attacker_id", "source_host"]).select(*DERIVED["execCode"]))
+    odd = hosts.filter("NOT even")
+    if not odd.isEmpty():
+        rest = rest.unionByName(held.join(steps.join(sent(odd), "compromised_host", "left_semi"), "source_host").select(*DERIVED["execCode"]))
+    rest = cut(rest.distinct())
+    return plain.unionByName(rest.unionByName(local_exec(store, rest)).distinct() if local else rest)
 
 
-def owns_machine(executions: DataFrame) -> DataFrame:
-    root = executions.filter(F.col("obtained_privilege") == "root")
-    return root.select("attacker_id", F.col("compromised_host").alias("owned_host")).distinct()
+def owns_machine(executions: DataFrame, once: bool = False) -> DataFrame:
+    """Hosts with root; ``once`` says that no execution is there twice."""
+    root = executions.filter(F.col("obtained_privilege") == "root").select("attacker_id", F.col("compromised_host").alias("owned_host"))
+    return root if once else root.distinct()
 
 
 def goal_reached_bag(store: FactStore, owned: DataFrame) -> DataFrame:
@@ -108,8 +116,8 @@ def goal_reached(store: FactStore, owned: DataFrame) -> DataFrame:
 def evaluate(store: FactStore, local: bool = True, **options) -> DerivedFacts:
     """All derived relations of a snapshot."""
     access = cut(effective_access(store))
-    executions = exec_code(store, local, reach_hosts(store, access, **options), access)
-    owned = owns_machine(executions)
+    executions = exec_code(store, local, cut(reach_hosts(store, access, **options)), access)
+    owned = owns_machine(executions, once=True)
     return DerivedFacts(access, executions, owned, goal_reached(store, owned))
 
 
