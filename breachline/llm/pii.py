@@ -97,9 +97,9 @@ def _placed(hits: Column, gaps: Column) -> Column:
     return _once(_scan(lengths, lambda x, y: x + y, 0), spans)
 
 
-def _found(text: Column, hits: Column, pattern: str) -> Column:
+def _found(hits: Column, gaps: Column) -> Column:
     none = F.array().cast("array<struct<hit:string,gap:string,after:string,start:int,end:int>>")
-    return F.when(F.size(hits) > 0, _once(F.split(text, pattern, -1), lambda gaps: _placed(hits, gaps))).otherwise(none)
+    return F.when(F.size(hits) > 0, _once(gaps, lambda g: _placed(hits, g))).otherwise(none)
 
 
 def _apart(cands: Column, spans: Column) -> Column:
@@ -122,10 +122,16 @@ GIVEN = "Ahmed Alexander Alice Amelia Andrea Anna Antonio Barbara Carlos Carmen
 KEYS = "password passwd passphrase pwd secret token login username user name address street account passport contact".split()
 STREETS = "Street Road Avenue Lane Square Drive Platz Weg Allee Calle Rue".split()
 _KEY = rf"(?i:\b(?:{'|'.join(KEYS)})(?:\x20{{0,2}}[:=]|\x20is)\x20{{0,2}}[\"'(]{{0,2}})"
+_WORD = r"[^\x20\x09-\x0D]"
+# a token with a digit; or a key word and what it announces; or a given name and a capitalised word
 _DIGIT_TOKEN = r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-_NAME = rf"[\"'(]{{0,2}}(?:{'|'.join(GIVEN)})(?![A-Za-z])(?:\x20[A-Z][a-z]++)?+[^\x20\x09-\x0D]*+"
-_TOKEN = rf"(?<![^\x20\x09-\x0D])(?:{_DIGIT_TOKEN}|(?<={_KEY})[^\x20\x09-\x0D]++|{_NAME})"
-_LEAD = r"^[\"'(\[{<#*$%&!|,.;:=]+"
+_VALUE = rf"[\"'(]{{0,2}}{_KEY}{_WORD}++"
+_NAME = rf"(?=[\"'(]{{0,2}}[A-Z])[\"'(]{{0,2}}(?:{'|'.join(GIVEN)})(?![A-Za-z])(?:\x20[A-Z][a-z]++)?+{_WORD}*+"
+_TOKEN = rf"(?<!{_WORD})(?:{_DIGIT_TOKEN}|{_VALUE}|{_NAME})"
+#: The same for texts without any digit, where no token need be read to its end.
+_NO_DIGIT_TOKEN = rf"(?<!{_WORD})(?:{_VALUE}|{_NAME})"
+# what goes before and after the candidate itself: the key word, quotes and brackets
+_LEAD = rf"^(?:[\"'(]{{0,2}}{_KEY})?[\"'(\[{{<#*$%&!|,.;:=]*"
 _TAIL = r"[\"')\]}>#*$%&!?|,.;:=]+$"
 
 # Labelers: name, what they read, pattern for a vote of yes, pattern for a vote of no.
@@ -170,11 +176,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     all_ = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     some = lambda condition, pattern: F.when(condition, all_(pattern)).otherwise(F.array().cast("array<string>"))
     hits = docs.select(
-        "doc_id", "t", some(F.contains(t, F.lit("@")), _EMAIL).alias("email"), some(digit, _IP).alias("ip"), some(digit, _CARD).alias("card"), some(F.contains(t, F.lit("+")), _PHONE).alias("phone"), all_(_TOKEN).alias("token")
+        "doc_id", "t", some(F.contains(t, F.lit("@")), _EMAIL).alias("email"), some(digit, _IP).alias("ip"), some(digit, _CARD).alias("card"), some(F.contains(t, F.lit("+")), _PHONE).alias("phone"), F.when(digit, all_(_TOKEN)).otherwise(all_(_NO_DIGIT_TOKEN)).alias("token")
     )
 
     def checked(kind: str, pattern: str) -> Column:
-        return F.transform(F.filter(_found(t, F.col(kind), pattern), lambda s: _valid(kind, s["hit"])), lambda s: F.struct(s["start"], s["end"]))
+        return F.transform(F.filter(_found(F.col(kind), F.split(t, pattern, -1)), lambda s: _valid(kind, s["hit"])), lambda s: F.struct(s["start"], s["end"]))
 
     spans = {k: checked(k, p) for k, p in zip(KINDS, (_EMAIL, _IP, _CARD, _PHONE), strict=True)}
 
@@ -186,7 +192,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         return _once(F.regexp_replace(s["hit"], _LEAD, ""), bare)
 
-    tokens = F.filter(F.transform(_found(t, F.col("token"), _TOKEN), token), lambda x: x["tok"].rlike(r"[\p{L}0-9]"))
+    gaps = F.when(digit, F.split(t, _TOKEN, -1)).otherwise(F.split(t, _NO_DIGIT_TOKEN, -1))
+    tokens = F.filter(F.transform(_found(F.col("token"), gaps), token), lambda x: x["tok"].rlike(r"[\p{L}0-9]"))
     placed = hits.select("doc_id", *[v.alias(k) for k, v in spans.items()], tokens.alias("cand"))
     # the spans are bound before they are used again: an optimiser that moves them must not find them anew
     return placed.withColumn("cand", _once(F.concat(*KINDS), lambda base: _once(F.col("cand"), lambda cand: _apart(cand, base))))
