@@ -21,10 +21,23 @@ def checkpoint_ready(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="breachline-"))
 
 
+_CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that it survives lost executors."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and kept in the shared checkpoint folder, so that it survives lost executors.
+
+    A checkpoint also keeps what the optimiser knows of the rows, which it can't work out for every
+    union (it fails on a column it has dropped); nothing here needs that, so it is left out.
+    """
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    before = spark.conf.get(_CONSTRAINTS)
+    spark.conf.set(_CONSTRAINTS, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CONSTRAINTS, before)
 
 
 def sent(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
