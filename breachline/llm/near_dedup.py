@@ -127,8 +127,8 @@ def _verified(k: int, percent: int):
 def _compare(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (hub, other) whose texts are similar, as links (a, b)."""
     spark = pairs.sparkSession
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    others = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part"), "other")
+    parts = materialise(pairs.groupBy("hub").agg(F.count("*").alias("often"), F.ceil(F.count("*") / PART).cast("int").alias("parts")), "near-hubs")
+    others = keyed_join(pairs, parts, "hub", "often", SMALL_ROWS).select("hub", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part"), "other")
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("other"))
     roles = broadcast_if_small(materialise(others.unionByName(hubs), "near-roles"), SMALL_ROWS)
     rows = docs.join(roles, docs.doc_id == roles.other, "inner").select("hub", "part", "other", "text")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from breachline.llm.common import BLANK_CLASS, BLANKS, materialise, without_blanks, words
+from breachline.llm.common import BLANKS, materialise, without_blanks, words
 
 SYMBOL_CLASS = "[#*$%&|<>]"
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from breachline.llm import bytescan
-from breachline.llm.common import broadcast_if_small, materialise, ship_code, shuffle_parts
+from breachline.llm.common import broadcast_if_small, keyed_join, materialise, ship_code, shuffle_parts
 
 WIDTH, GRAM = 100, 28
 HOT = 50_000
@@ -468,8 +468,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long_ = docs.filter(F.octet_length("text") >= WIDTH)
     size = F.octet_length("text").alias("n")
     whole = materialise(long_.select("did", "tie", F.xxhash64(F.lit(1), "text").alias("tie2"), size), "texts")
-    firsts = whole.groupBy("tie", "tie2", "n").agg(F.min("did").alias("first"), F.max("did").alias("last")).filter(F.col("first") != F.col("last"))
-    copies = materialise(whole.join(firsts, ["tie", "tie2", "n"]).filter(F.col("did") > F.col("first")).select("did", "tie").distinct(), "copies")
+    keyed = whole.select(F.struct("tie", "tie2", "n").alias("key"), "did", "tie")
+    firsts = keyed.groupBy("key").agg(F.min("did").alias("first"), F.max("did").alias("last"), F.count("*").alias("often")).filter(F.col("first") != F.col("last"))
+    copies = keyed_join(keyed, materialise(firsts.drop("last"), "first-texts"), "key", "often", SMALL_ROWS)
+    copies = materialise(copies.filter(F.col("did") > F.col("first")).select("did", "tie").distinct(), "copies")
     copies = broadcast_if_small(copies, SMALL_ROWS)
     sources = long_.join(copies, ["did", "tie"], "left_anti")
     found = sources.select("did", "text").mapInArrow(_anchor_rows, "gram bigint, did bigint, pos int")
