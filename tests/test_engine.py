@@ -48,6 +48,22 @@ def test_reach_rounds(spark):
     assert got == {(f"node_{i}", i) for i in range(6)} == {(r.host, r.round) for r in rules.reach_hosts(topo.chain(spark, 6)).collect()}
 
 
+def test_kernel_many_attackers(spark):
+    """Ten thousand attackers, some at two places, one at a host without edges; results come in bounded batches."""
+    from breachline.operators.fixpoint import reach
+
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}") for i in range(40)] + [("h40", "h38")], "src string, dst string")
+    begun = [(f"a{i}", f"h{i % 41}") for i in range(10_000)] + [("a0", "h20"), ("b", "alone")]
+    got = reach(spark.createDataFrame(begun, "attacker_id string, host string").repartition(3), edges).collect()
+    want = {("b", "alone"): 0}
+    for a, h in begun[:-1]:
+        at = int(h[1:])
+        for d in range(min(at, 38), 41):
+            hops = d - at if d >= at else 41 - at + d - 38
+            want[a, f"h{d}"] = min(want.get((a, f"h{d}"), 99), hops)
+    assert len(got) == len(want) and {(x.attacker_id, x.host): x.round for x in got} == want
+
+
 def test_max_rounds_raises(spark):
     with pytest.raises(RuntimeError):
         rules.reach_hosts(topo.chain(spark, 6), small_edges=0, max_rounds=2)
