@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from breachline.plans.lineage import cut
+from breachline.operators.regions import Regions
+from breachline.plans.lineage import cut, stored
 
 #: Graphs of at most this many edges (two host names each) are sent to every worker.
 SMALL_EDGES = 300_000
@@ -22,12 +23,17 @@ def reach(starts: DataFrame, edges: DataFrame, small_edges: int = SMALL_EDGES, m
     """(attacker_id, host, round) over starts (attacker_id, host) and edges (src, dst); round is the fewest hops.
 
     Attackers are independent of each other. If the edges, counted up to the limit, are few, each
-    attacker's hosts are found by one breadth-first search beside a copy of the graph; otherwise by
-    semi-naive rounds, in which only new pairs meet the edges.
+    attacker's hosts are found by one breadth-first search beside a copy of the graph; otherwise region
+    by region. If a region is too large for a task, or with small_edges 0, by semi-naive rounds, in
+    which only new pairs meet the edges.
     """
-    few = edges.limit(small_edges + 1).toArrow() if small_edges else None
-    if few is not None and few.num_rows <= small_edges:
-        return _searched(starts, few)
+    if small_edges:
+        edges = stored(edges.select("src", "dst"))
+        if edges.limit(small_edges + 1).count() <= small_edges:
+            return _searched(starts, edges.toArrow())
+        regions = Regions(edges)
+        if regions.fit:
+            return regions.reached(starts, edges)
     return _rounds(starts, edges, max_rounds)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +44,15 @@ def cut(df: DataFrame) -> DataFrame:
 def sent(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
     """df, marked for broadcast when it has at most so many rows (counted)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once and kept as Parquet in the shared checkpoint folder: a small part of a checkpoint's size where names repeat.
+
+    The files stay until the run's folder is deleted.
+    """
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
