@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from breachline.operators import rules, updates
 from breachline.plans.facts import DERIVED, DERIVED_FIELD, DerivedFacts, fact_text
 
 #: Arguments (from 0) that name hosts.
@@ -13,12 +14,22 @@ HOSTS = {"effectiveAccess": (0, 1), "execCode": (1,), "ownsMachine": (1,), "goal
 
 def changed_facts(before: DerivedFacts, after: DerivedFacts) -> DataFrame:
     """(predicate, args, diff): -1 for facts only before, 1 for facts only after."""
+    if (step := rules.Step.of(before, after)) is not None:
+        return updates.step_changes(step, list(DERIVED))
     old, new = before.tagged().distinct().withColumn("diff", F.lit(-1)), after.tagged().distinct().withColumn("diff", F.lit(1))
     return old.unionByName(new).groupBy("predicate", "args").agg(F.sum("diff").cast("long").alias("diff")).filter("diff <> 0")
 
 
 def affected_hosts(before: DerivedFacts, after: DerivedFacts) -> DataFrame:
     """Hosts that some changed fact names; both ends of an access edge."""
+    if (step := rules.Step.of(before, after)) is not None:
+        # machines and goals change where executions do, unless the goals themselves are others
+        own = step.changes().select(F.col("compromised_host").alias("host"))
+        if not step.same_goals():
+            own = own.unionByName(step.goal_changes(step.changes()).select(F.col("reached_target").alias("host")))
+        if (ways := step.access_changes()) is not None:
+            own = own.unionByName(ways.select(F.explode(F.array("source_host", "destination_host")).alias("host")))
+        return own.distinct()
     changed = changed_facts(before, after)
     at = F.when(F.col("predicate") == "effectiveAccess", F.slice("args", 1, 2)).otherwise(F.slice("args", 2, 1))
     return changed.select(F.explode(at).alias("host")).distinct()

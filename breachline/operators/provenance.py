@@ -8,7 +8,7 @@ within these the smallest vulnerability id, service, source and privilege.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -61,14 +61,22 @@ def exec_steps(store: FactStore, access: DataFrame, reached: DataFrame) -> DataF
     return best.select(*EXEC, "x.kind", "x.cve", "x.service", "x.source", "x.priv")
 
 
-def proof_edges(store: FactStore, **options) -> DataFrame:
-    """(predicate, args, rule, place, premise, premise_args): the premises of every derived fact, in order."""
-    access = cut(rules.effective_access(store))
-    reached = cut(rules.reach_hosts(store, **options))
-    steps = cut(exec_steps(store, access, reached))
-    executions = steps.select(*EXEC)
-    owned = rules.owns_machine(executions)
-    goals = rules.goal_reached(store, owned)
+def proof_edges(store: FactStore, only: Collection[str] | None = None, **options) -> DataFrame:
+    """(predicate, args, rule, place, premise, premise_args): the premises of every derived fact, in order.
+
+    ``only`` names the predicates that are wanted; what others need is not worked out.
+    """
+    only = set(DERIVED if only is None else only)
+    access = rules.effective_access(store)
+    steps = owned = goals = None
+    if "execCode" in only:
+        access = cut(access)
+        steps = cut(exec_steps(store, access, cut(rules.reach_hosts(store, **options))))
+        owned = rules.owns_machine(steps.select(*EXEC))
+        goals = rules.goal_reached(store, owned)
+    elif only & {"ownsMachine", "goalReached"}:
+        facts = rules.evaluate(store, **options)
+        owned, goals = facts.machines_owned, facts.goals_reached
     fact = lambda p, *cols: F.struct(F.lit(p).alias("premise"), F.array(*[F.col(c) if isinstance(c, str) else c for c in cols]).alias("premise_args"))
 
     def edges(df: DataFrame, predicate: str, columns: tuple[str, ...], rule, premises) -> DataFrame:
@@ -76,13 +84,21 @@ def proof_edges(store: FactStore, **options) -> DataFrame:
         return rows.select("predicate", "args", "rule", F.col("place").cast("long").alias("place"), "x.premise", "x.premise_args")
 
     a, h, p = EXEC
-    start = edges(steps.filter("kind = 0"), "execCode", tuple(EXEC), F.lit(START), F.array(fact("attackerLocated", a, h, p)))
-    local = edges(steps.filter("kind = 1"), "execCode", tuple(EXEC), F.lit(LOCAL), F.array(fact("execCode", a, h, "priv"), fact("localVulExists", h, "cve", p)))
-    remote = edges(steps.filter("kind = 2"), "execCode", tuple(EXEC), F.lit(REMOTE), F.array(fact("execCode", a, "source", "priv"), fact("effectiveAccess", "source", h, "service"), fact("vulExists", h, "cve", "service", p)))
-    own = edges(owned, "ownsMachine", DERIVED["ownsMachine"], F.lit(OWNS), F.array(fact("execCode", "attacker_id", "owned_host", F.lit("root"))))
-    goal = edges(goals, "goalReached", DERIVED["goalReached"], F.lit(GOAL), F.array(fact("attackGoal", *DERIVED["goalReached"]), fact("ownsMachine", *DERIVED["goalReached"])))
-    way = edges(access, "effectiveAccess", DERIVED["effectiveAccess"], F.lit(ACCESS), F.array(fact("hacl", *DERIVED["effectiveAccess"])))
-    return start.unionByName(local).unionByName(remote).unionByName(own).unionByName(goal).unionByName(way)
+    found = []
+    if "execCode" in only:
+        found.append(edges(steps.filter("kind = 0"), "execCode", tuple(EXEC), F.lit(START), F.array(fact("attackerLocated", a, h, p))))
+        found.append(edges(steps.filter("kind = 1"), "execCode", tuple(EXEC), F.lit(LOCAL), F.array(fact("execCode", a, h, "priv"), fact("localVulExists", h, "cve", p))))
+        found.append(edges(steps.filter("kind = 2"), "execCode", tuple(EXEC), F.lit(REMOTE), F.array(fact("execCode", a, "source", "priv"), fact("effectiveAccess", "source", h, "service"), fact("vulExists", h, "cve", "service", p))))
+    if "ownsMachine" in only:
+        found.append(edges(owned, "ownsMachine", DERIVED["ownsMachine"], F.lit(OWNS), F.array(fact("execCode", "attacker_id", "owned_host", F.lit("root")))))
+    if "goalReached" in only:
+        found.append(edges(goals, "goalReached", DERIVED["goalReached"], F.lit(GOAL), F.array(fact("attackGoal", *DERIVED["goalReached"]), fact("ownsMachine", *DERIVED["goalReached"]))))
+    if "effectiveAccess" in only:
+        found.append(edges(access, "effectiveAccess", DERIVED["effectiveAccess"], F.lit(ACCESS), F.array(fact("hacl", *DERIVED["effectiveAccess"]))))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 @dataclass(frozen=True)

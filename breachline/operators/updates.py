@@ -11,8 +11,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from breachline.plans.facts import BASE, DERIVED, DerivedFacts, FactStore
-from breachline.plans.lineage import cut, sent
+from breachline.operators import rules
+from breachline.plans.facts import BASE, DERIVED, DerivedFacts, FactStore, tagged
+from breachline.plans.lineage import sent, stored
 from breachline.sources.facts_text import store_of
 
 LOG = "seq bigint, op string, predicate string, args array<string>"
@@ -61,7 +62,7 @@ def named_facts(log: DataFrame) -> DataFrame:
 
 def apply_updates(store: FactStore, log: DataFrame, named: DataFrame | None = None) -> FactStore:
     """The store after a log. Only facts that the log names are counted and replayed; all others stay as they are."""
-    named = cut(named_facts(log)) if named is None else named
+    named = stored(named_facts(log)) if named is None else named
     kinds = {r.predicate for r in named.select("predicate").distinct().collect()}  # at most six
     gone = {p: sent(named.filter(F.col("predicate") == p).select(*[F.get("args", F.lit(k)).alias(c) for k, c in enumerate(BASE[p])])) for p in kinds}
     held = None
@@ -71,7 +72,7 @@ def apply_updates(store: FactStore, log: DataFrame, named: DataFrame | None = No
         held = own if held is None else held.unionByName(own)
     if held is None:
         return store
-    fresh = store_from(cut(replayed(held, log)))
+    fresh = store_from(stored(replayed(held, log)))
     for p in kinds:
         kept = store.relation(p).join(gone[p], list(BASE[p]), "left_anti").select(*BASE[p])
         store = store.with_relation(p, kept.unionByName(fresh.relation(p)))
@@ -96,7 +97,35 @@ def positive(feed: DataFrame) -> DataFrame:
 def change_feed(before: DerivedFacts | None, after: DerivedFacts, time: int, access: bool = False) -> DataFrame:
     """(time, predicate, args, diff) from one state to the next; effective access only if asked for."""
     keep = list(DERIVED) if access else [p for p in DERIVED if p != "effectiveAccess"]
+    if (step := rules.Step.of(before, after)) is not None:
+        return step_changes(step, keep).select(F.lit(time).cast("long").alias("time"), "predicate", "args", "diff")
     new = after.tagged().filter(F.col("predicate").isin(keep)).withColumn("diff", F.lit(1))
     if before is not None:
         new = new.unionByName(before.tagged().filter(F.col("predicate").isin(keep)).withColumn("diff", F.lit(-1)))
     return consolidated(new.withColumn("time", F.lit(time).cast("long")))
+
+
+def step_changes(step: rules.Step, keep: list[str]) -> DataFrame:
+    """(predicate, args, diff) of the predicates to keep between two states that are known by regions."""
+    changes = stored(step.changes())
+    root = changes.filter("obtained_privilege = 'root'").select("attacker_id", F.col("compromised_host").alias("owned_host"), "diff")
+    found = {"execCode": changes, "ownsMachine": root, "goalReached": step.goal_changes(changes)}
+    if "effectiveAccess" in keep and (ways := step.access_changes()) is not None:
+        found["effectiveAccess"] = ways
+    out = None
+    for p in keep:
+        if p in found:
+            own = tagged(found[p], p, DERIVED[p], F.col("diff").cast("long").alias("diff"))
+            out = own if out is None else out.unionByName(own)
+    return out
+
+
+def left(before: DerivedFacts, after: DerivedFacts) -> DataFrame:
+    """(predicate, args) that the feeds of a first state and of the step to a second leave, effective access apart."""
+    if (step := rules.Step.of(before, after)) is None:
+        return positive(change_feed(None, before, 0).unionByName(change_feed(before, after, 1)))
+    executions = step.left()
+    goal = lambda df: tagged(df, "goalReached", DERIVED["goalReached"], F.col("diff"))
+    goals = goal(before.goals_reached.withColumn("diff", F.lit(1))).unionByName(goal(step.goal_changes(step.changes())))
+    own = tagged(rules.owns_machine(executions, once=True), "ownsMachine", DERIVED["ownsMachine"])
+    return tagged(executions, "execCode", DERIVED["execCode"]).unionByName(own).unionByName(positive(goals))

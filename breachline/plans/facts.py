@@ -84,13 +84,16 @@ class FactStore:
 
     def tagged(self) -> DataFrame:
         """All base facts as (predicate, args): four arguments at most, the action of firewall rules included."""
-        return _union([_tagged(self.relation(p), p, c) for p, c in BASE.items()])
+        return _union([tagged(self.relation(p), p, c) for p, c in BASE.items()])
 
 
 @dataclass(frozen=True)
 class DerivedFacts:
     """The four derived relations, as sets."""
 
+    #: Where they are found region by region, the rules' State; not a field.
+    state = None
+
     effective_network_access: DataFrame
     code_executions: DataFrame
     machines_owned: DataFrame
@@ -100,14 +103,14 @@ class DerivedFacts:
         return getattr(self, DERIVED_FIELD[predicate])
 
     def tagged(self) -> DataFrame:
-        return _union([_tagged(self.relation(p), p, c) for p, c in DERIVED.items()])
+        return _union([tagged(self.relation(p), p, c) for p, c in DERIVED.items()])
 
     def counts(self) -> dict[str, int]:
         return {f.name: getattr(self, f.name).count() for f in fields(self)}
 
 
-def _tagged(df: DataFrame, predicate: str, columns: tuple[str, ...]) -> DataFrame:
-    return df.select(F.lit(predicate).alias("predicate"), F.array(*columns).alias("args"))
+def tagged(df: DataFrame, predicate: str, columns: tuple[str, ...], *more: Column) -> DataFrame:
+    return df.select(F.lit(predicate).alias("predicate"), F.array(*columns).alias("args"), *more)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

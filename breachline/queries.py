@@ -12,7 +12,6 @@ from breachline.operators import metrics, rules, updates
 from breachline.operators.provenance import proof_edges
 from breachline.plans.engines import Engine, IncrementalEngine, RecomputeEngine
 from breachline.plans.facts import FactStore, fact_text
-from breachline.plans.lineage import cut
 from breachline.sources.facts_text import parsed
 from breachline.sources.tables import VIEWS, table_store
 
@@ -158,7 +157,7 @@ def goal_reached_bag(spark: SparkSession, d: str) -> DataFrame:
     """Every goal stated twice is reached twice."""
     s = table_store(spark, d)
     s = s.with_relation("attackGoal", s.attacker_goals.unionAll(s.attacker_goals))
-    return rules.goal_reached_bag(s, rules.owns_machine(rules.exec_code(s))).groupBy("attacker_id", "reached_target").agg(F.count("*").alias("copies"))
+    return rules.goals_bag(s).groupBy("attacker_id", "reached_target").agg(F.count("*").alias("copies"))
 
 
 @query("demo_owns_any_root", _with("SELECT x.attacker_id, x.compromised_host AS owned_host, count(*) AS copies FROM (SELECT DISTINCT attacker_id, compromised_host FROM ex) x JOIN vul v ON v.host_name = x.compromised_host AND v.privilege = 'root' GROUP BY ALL", PROGRAM))
@@ -174,11 +173,9 @@ def goal_relevant_edges(spark: SparkSession, d: str) -> DataFrame:
 @query("derived_counts", _with("SELECT (SELECT count(*) FROM ex) AS exec_code, (SELECT count(*) FROM own) AS owns_machine, (SELECT count(*) FROM got) AS goal_reached, (SELECT count(*) FROM ex) + (SELECT count(*) FROM own) + (SELECT count(*) FROM got) AS facts", PROGRAM))
 def derived_counts(spark: SparkSession, d: str) -> DataFrame:
     s = rules.evaluate(table_store(spark, d))
-    one = lambda df, n: df.agg(F.count("*").alias(n))
-    ex = cut(s.code_executions)
-    own = rules.owns_machine(ex)
-    got = rules.goal_reached(table_store(spark, d), own)
-    return one(ex, "exec_code").crossJoin(one(own, "owns_machine")).crossJoin(one(got, "goal_reached")).withColumn("facts", F.col("exec_code") + F.col("owns_machine") + F.col("goal_reached"))
+    held = s.code_executions.agg(F.count("*").alias("exec_code"), F.count_if(F.col("obtained_privilege") == "root").alias("owns_machine"))
+    got = s.goals_reached.agg(F.count("*").alias("goal_reached"))
+    return held.crossJoin(got).withColumn("facts", F.col("exec_code") + F.col("owns_machine") + F.col("goal_reached"))
 
 
 @query("host_census", _with("SELECT source_host AS host FROM hacl UNION SELECT destination_host FROM hacl UNION SELECT host_name FROM vul UNION SELECT starting_host FROM pos UNION SELECT target_host_name FROM goal"))
@@ -264,8 +261,7 @@ def exec_after_patch_recomputed(spark: SparkSession, d: str) -> DataFrame:
 def positive_records(spark: SparkSession, d: str) -> DataFrame:
     """What the feed of a load and of a patch leaves, as a set: the state after both."""
     before, after = _updated(spark, d, "patch")
-    left = updates.positive(updates.change_feed(None, before, 0).unionByName(updates.change_feed(before, after, 1)))
-    return left.select("predicate", fact_text(F.col("predicate"), F.col("args")).alias("fact"))
+    return updates.left(before, after).select("predicate", fact_text(F.col("predicate"), F.col("args")).alias("fact"))
 
 
 for _u in ("patch", "deny"):
@@ -327,7 +323,7 @@ def state_as_of(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 'goalReached(' || attacker_id || ', ' || reached_target || ')', 'goal_reached_from_goal_and_ownership', 1, 'ownsMachine(' || attacker_id || ', ' || reached_target || ')' FROM got
   UNION ALL SELECT 'ownsMachine(' || attacker_id || ', ' || owned_host || ')', 'ownership_from_root_exec_code', 0, 'execCode(' || attacker_id || ', ' || owned_host || ', root)' FROM own""", PROGRAM))
 def proof_edges_goal(spark: SparkSession, d: str) -> DataFrame:
-    return _shown_edges(proof_edges(table_store(spark, d)).filter(F.col("predicate").isin("goalReached", "ownsMachine")))
+    return _shown_edges(proof_edges(table_store(spark, d), ("goalReached", "ownsMachine")))
 
 
 def _shown_edges(edges: DataFrame) -> DataFrame:
@@ -355,14 +351,14 @@ _RANKED = """way AS (SELECT DISTINCT e.source_host, v.host_name, v.privilege FRO
   UNION ALL SELECT fact, 'exec_code_from_network_reachability_and_vulnerability', 2, 'vulExists(' || host || ', ' || cve || ', ' || service || ', ' || priv || ')' FROM shown WHERE kind = 2""", PROGRAM, _EDGES, _WALK, _RANKED))
 def proof_edges_exec(spark: SparkSession, d: str) -> DataFrame:
     """The chosen step of every execution."""
-    return _shown_edges(proof_edges(table_store(spark, d)).filter("predicate = 'execCode'"))
+    return _shown_edges(proof_edges(table_store(spark, d), ("execCode",)))
 
 
 @query("proof_edges_access", _with("""SELECT 'effectiveAccess(' || source_host || ', ' || destination_host || ', ' || service_name || ')' AS fact, 'effective_access_from_hacl_without_firewall_deny' AS rule, 0::BIGINT AS place,
   'hacl(' || source_host || ', ' || destination_host || ', ' || service_name || ')' AS premise FROM eff""", PROGRAM))
 def proof_edges_access(spark: SparkSession, d: str) -> DataFrame:
     """Why each effective access holds."""
-    return _shown_edges(proof_edges(table_store(spark, d)).filter("predicate = 'effectiveAccess'"))
+    return _shown_edges(proof_edges(table_store(spark, d), ("effectiveAccess",)))
 
 
 # Generated networks.

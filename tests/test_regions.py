@@ -67,3 +67,28 @@ def test_snapshot(spark, rows):
     facts = rules.evaluate(FactStore.of(spark, rows))
     assert facts.state is not None and state(facts) == derive(rows)
     assert sorted(map(tuple, rules.goals_bag(FactStore.of(spark, rows)).collect())) == sorted(g for g in rows.get("attackGoal", ()) if g in derive(rows)["goalReached"])
+
+
+UPDATES = [
+    [("remove", "vulExists", ("b", "C1", "s", "none")), ("remove", "vulExists", ("b", "C2", "s", "none")), ("insert", "localVulExists", ("e", "L4", "root"))],
+    [("insert", "firewallDeny", ("c", "d", "t", "deny")), ("remove", "attackerLocated", ("eve", "a", "none")), ("insert", "attackerLocated", ("mal", "b", "user"))],
+    [("remove", "firewallDeny", ("c", "d", "t", "deny")), ("insert", "hacl", ("a", "e", "s")), ("remove", "attackGoal", ("mal", "d")), ("insert", "attackGoal", ("mal", "f"))],
+]
+
+
+def test_updates_by_regions(spark):
+    """States, feeds and affected hosts after updates of every relation, without pairs or executions being kept."""
+    engine, rows, hosts = IncrementalEngine(small_edges=1), HARD, metrics.HOSTS
+    engine.load_snapshot(FactStore.of(spark, rows))
+    before = engine.current_derived_facts()
+    for log in UPDATES:
+        old, rows = derive(rows), apply(rows, log)
+        engine.apply_updates(updates.change_log(spark, log))
+        after, new = engine.current_derived_facts(), derive(rows)
+        assert state(after) == new
+        want = {(p, f, d) for p in new for d, facts in ((1, new[p] - old[p]), (-1, old[p] - new[p])) for f in facts}
+        assert {(r.predicate, tuple(r.args), r.diff) for r in metrics.changed_facts(before, after).collect()} == want
+        assert {r.host for r in metrics.affected_hosts(before, after).collect()} == {f[k] for p, f, _ in want for k in hosts[p]}
+        assert {(r.predicate, tuple(r.args)) for r in updates.left(before, after).collect()} == {(p, f) for p in new if p != "effectiveAccess" for f in new[p]}
+        before = after
+    assert engine.repairs == ["regions"] * 3
