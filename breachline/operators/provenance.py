@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from breachline.operators import rules
+from breachline.operators.regions import Regions
 from breachline.plans.facts import DERIVED, FactStore, priv_rank
-from breachline.plans.lineage import cut
+from breachline.plans.lineage import cut, stored
 
 # Rule names as shown in proofs.
 START = "initial_exec_code_from_attacker_location"
@@ -43,7 +44,10 @@ def ranked_exec(store: FactStore, access: DataFrame, reached: DataFrame) -> Data
 
 
 def exec_steps(store: FactStore, access: DataFrame, reached: DataFrame) -> DataFrame:
-    """attacker_id, compromised_host, obtained_privilege, kind (0 start, 1 local, 2 remote), cve, service, source, priv (of the premise)."""
+    """attacker_id, compromised_host, obtained_privilege, kind (0 start, 1 local, 2 remote), cve, service, source, priv (of the premise).
+
+    By joins of all executions, for regions too large for a task.
+    """
     facts = cut(ranked_exec(store, access, reached))
     no = F.lit("")
     starts = rules.initial_exec(store).select(*EXEC, F.lit(0).alias("kind"), no.alias("cve"), no.alias("service"), no.alias("source"), F.lit(0).alias("order"), no.alias("priv"))
@@ -61,15 +65,36 @@ def exec_steps(store: FactStore, access: DataFrame, reached: DataFrame) -> DataF
     return best.select(*EXEC, "x.kind", "x.cve", "x.service", "x.source", "x.priv")
 
 
+def _state(store: FactStore) -> rules.State | None:
+    """The snapshot by regions, each way with the vulnerability and service that proofs prefer: of one source, no other is ever chosen."""
+    ways = rules.exploit_ways(store, named=True).groupBy("src", "dst", "privilege").agg(F.min(F.struct("cve", "service")).alias("x"))
+    ways = stored(ways.select("src", "dst", "privilege", "x.cve", "x.service"))
+    regions = Regions(ways)
+    return rules.State(store, None, ways, regions) if regions.fit else None
+
+
+def _region_steps(state: rules.State) -> DataFrame:
+    """The columns of exec_steps, region by region: neither pairs nor steps are kept."""
+    cve = F.min(F.struct(F.col("vulnerability_id").alias("cve"))).alias("x")
+    flaws = state.store.local_vulnerabilities.groupBy(F.col("host_name").alias("host"), "privilege").agg(cve).select("host", "privilege", "x.cve")
+    return state.regions.steps(state.ways, flaws, state.parts()[2])
+
+
 def proof_edges(store: FactStore, only: Collection[str] | None = None, **options) -> DataFrame:
     """(predicate, args, rule, place, premise, premise_args): the premises of every derived fact, in order.
 
-    ``only`` names the predicates that are wanted; what others need is not worked out.
+    ``only`` names the predicates that are wanted; what others need is not worked out. With small_edges 0,
+    or where a region is too large for a task, executions are found by rounds and joined with all ways.
     """
     only = set(DERIVED if only is None else only)
     access = rules.effective_access(store)
     steps = owned = goals = None
-    if "execCode" in only:
+    state = _state(store) if "execCode" in only and options.get("small_edges", 1) else None
+    if state is not None:
+        steps = _region_steps(state)
+        facts = state.facts()
+        owned, goals = facts.machines_owned, facts.goals_reached
+    elif "execCode" in only:
         access = cut(access)
         steps = cut(exec_steps(store, access, cut(rules.reach_hosts(store, **options))))
         owned = rules.owns_machine(steps.select(*EXEC))
@@ -86,9 +111,12 @@ def proof_edges(store: FactStore, only: Collection[str] | None = None, **options
     a, h, p = EXEC
     found = []
     if "execCode" in only:
-        found.append(edges(steps.filter("kind = 0"), "execCode", tuple(EXEC), F.lit(START), F.array(fact("attackerLocated", a, h, p))))
-        found.append(edges(steps.filter("kind = 1"), "execCode", tuple(EXEC), F.lit(LOCAL), F.array(fact("execCode", a, h, "priv"), fact("localVulExists", h, "cve", p))))
-        found.append(edges(steps.filter("kind = 2"), "execCode", tuple(EXEC), F.lit(REMOTE), F.array(fact("execCode", a, "source", "priv"), fact("effectiveAccess", "source", h, "service"), fact("vulExists", h, "cve", "service", p))))
+        kind = lambda *x: F.when(F.col("kind") == 0, x[0]).when(F.col("kind") == 1, x[1]).otherwise(x[2])
+        by_start = F.array(fact("attackerLocated", a, h, p))
+        by_flaw = F.array(fact("execCode", a, h, "priv"), fact("localVulExists", h, "cve", p))
+        by_way = F.array(fact("execCode", a, "source", "priv"), fact("effectiveAccess", "source", h, "service"), fact("vulExists", h, "cve", "service", p))
+        # in one pass: steps by regions are not kept
+        found.append(edges(steps, "execCode", tuple(EXEC), kind(F.lit(START), F.lit(LOCAL), F.lit(REMOTE)), kind(by_start, by_flaw, by_way)))
     if "ownsMachine" in only:
         found.append(edges(owned, "ownsMachine", DERIVED["ownsMachine"], F.lit(OWNS), F.array(fact("execCode", "attacker_id", "owned_host", F.lit("root")))))
     if "goalReached" in only:

@@ -32,6 +32,9 @@ SENT_LABELS = 300_000
 
 WAY, FLAW, START, GOAL = 0, 1, 2, 3
 EXEC = ["attacker_id", "compromised_host", "obtained_privilege"]
+STEP = [*EXEC, "kind", "cve", "service", "source", "priv"]
+#: The rank of what is not held.
+NEVER = np.iinfo(np.int32).max
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,11 +107,13 @@ class Regions:
         """Rows (region, slice, kind, world, a, b, c), those of a region and slice in one task, one after the other.
 
         ways (src, dst, privilege), flaws (host, privilege), starts (attacker_id, host, privilege); with a
-        column world (bits) where there are two states. Of goals (attacker_id, host), those in a region
-        that the attacker starts in.
+        column world (bits) where there are two states; of ways with columns service and cve, and flaws with
+        cve, also d (service) and e (cve). Of goals (attacker_id, host), those in a region that the attacker starts in.
         """
         share = SHARE if share is None else share
         tag = lambda df: F.col("world") if "world" in df.columns else F.lit(1)
+        names = "abcde" if "cve" in ways.columns else "abc"
+        more = lambda df: [F.col(c) if c in df.columns else F.lit(None) for c in ("service", "cve")][: len(names) - 3]
         own = self.located(starts, "host")
         load = own.groupBy("region").agg(F.count("*").alias("attackers")).join(self.sizes, "region")
         big = load.withColumn("slices", F.ceil(F.col("edges") * F.col("attackers") / share).cast("int")).filter("slices > 1").select("region", "slices")
@@ -122,7 +127,7 @@ class Regions:
                 df = df.join(big, "region", "left")
                 each = F.coalesce("slices", F.lit(1))
                 one = F.pmod(F.xxhash64("attacker_id"), each).cast("int") if kind in (START, GOAL) else F.explode(F.sequence(F.lit(0), each - 1))
-            return df.select("region", one.alias("slice"), F.lit(kind).alias("kind"), tag(df).cast("int").alias("world"), *[c.cast("string").alias(n) for c, n in zip(columns, "abc", strict=True)])
+            return df.select("region", one.alias("slice"), F.lit(kind).alias("kind"), tag(df).cast("int").alias("world"), *[c.cast("string").alias(n) for c, n in zip([*columns, *more(df)], names, strict=True)])
 
         rows = part(self.located(ways.filter("src IS NOT NULL AND dst IS NOT NULL"), "src"), WAY, [F.col("src"), F.col("dst"), F.col("privilege")])
         if flaws is not None:
@@ -144,6 +149,13 @@ class Regions:
         """(attacker_id, compromised_host, obtained_privilege), each once."""
         return self.dealt(ways, flaws, starts, **options).mapInArrow(_by_region(_executions_of, EXEC), "attacker_id string, compromised_host string, obtained_privilege string")
 
+    def steps(self, ways: DataFrame, flaws: DataFrame, starts: DataFrame, **options) -> DataFrame:
+        """The step that each execution rests on: kind (0 start, 1 local, 2 remote), cve, service, source, priv (of the premise).
+
+        ways also with service and cve, the smallest of each way; flaws with the smallest cve.
+        """
+        return self.dealt(ways, flaws, starts, **options).mapInArrow(_by_region(_steps_of, STEP), ", ".join(f"{c} {'int' if c == 'kind' else 'string'}" for c in STEP))
+
     def goals(self, ways: DataFrame, flaws: DataFrame | None, starts: DataFrame, goals: DataFrame, **options) -> DataFrame:
         """Goals (attacker_id, reached_target) where the attacker has root, as often as they are stated."""
         return self.dealt(ways, flaws, starts, goals, **options).mapInArrow(_by_region(_goals_of, ["attacker_id", "reached_target"]), "attacker_id string, reached_target string")
@@ -175,9 +187,9 @@ class _Region:
         self.aim, self.target = at(self.goals, "a", self.attackers), at(self.goals, "b", self.hosts)
         self.worlds = [t["world"].to_numpy() if t.num_rows else np.empty(0, np.int64) for t in (self.ways, self.flaws, self.starts)]
 
-    def blocks(self) -> Iterator[tuple[int, int]]:
+    def blocks(self, cells: int | None = None) -> Iterator[tuple[int, int]]:
         """Attackers from and to, so many that cells stay few."""
-        size = max(1, CELLS // max(1, len(self.hosts), len(self.src)))
+        size = max(1, (CELLS if cells is None else cells) // max(1, len(self.hosts), len(self.src)))
         for low in range(0, len(self.attackers), size):
             yield low, min(len(self.attackers), low + size)
 
@@ -225,6 +237,41 @@ class _Region:
             got[hosts] |= below[hosts]
         return out
 
+    def ranks(self, low: int, high: int) -> list[np.ndarray]:
+        """For each privilege, the rank of (host, attacker): 0 at the start, 2 (r + 1) from a host reached in round r, one more by a local flaw."""
+        level = self.levels(low, high)
+        onward = np.where(level >= 0, 2 * (level + 1), NEVER).astype(np.int32)
+        mine = (self.who >= low) & (self.who < high)
+        held = []
+        for p in range(len(self.privileges)):
+            rank = np.full(level.shape, NEVER, dtype=np.int32)
+            own = np.flatnonzero(self.gives == p)
+            own = own[np.argsort(self.dst[own], kind="stable")]
+            if len(own):
+                into, first = np.unique(self.dst[own], return_index=True)
+                rank[into] = np.minimum.reduceat(onward[self.src[own]], first, axis=0)
+            begun = mine & (self.held == p)
+            rank[self.begin[begun], self.who[begun] - low] = 0
+            held.append(rank)
+        out = [rank.copy() for rank in held]
+        for p, rank in enumerate(out):
+            hosts = np.unique(self.flawed[(self.flawed >= 0) & (self.adds == p)])
+            for g in self.gates():
+                if g != p and len(hosts):
+                    below = held[g][hosts]
+                    rank[hosts] = np.minimum(rank[hosts], below + (below < NEVER))
+        return out
+
+    def gates(self) -> list[int]:
+        """Privileges that a local flaw can raise, the least first."""
+        names = self.privileges.to_pylist()
+        return [g for g in self.by_order() if names[g] is not None and names[g] != "root"]
+
+    def by_order(self) -> list[int]:
+        """Privileges in the order in which proofs prefer them: none, user, root and others by name, nulls first."""
+        names = self.privileges.to_pylist()
+        return sorted(range(len(names)), key=lambda p: ({"none": 0, "user": 1}.get(names[p], 2), names[p] is not None, (names[p] or "").encode()))
+
     def named(self, cells: np.ndarray, low: int) -> list[pa.Array]:
         host, row = np.nonzero(cells)
         return [self.attackers.take(pa.array(row + low)), self.hosts.take(pa.array(host))]
@@ -244,6 +291,67 @@ def _executions_of(r: _Region) -> Iterator[list[pa.Array]]:
             yield [*names, r.privileges.take(pa.array(np.full(len(names[0]), p)))]
 
 
+def _steps_of(r: _Region) -> Iterator[list[pa.Array]]:
+    """Of the steps whose premise has a smaller rank, for each execution the least by kind, cve, service, source and privilege."""
+    text = lambda t, c: t[c].combine_chunks() if t.num_rows else pa.array([], pa.string())
+    table = pa.table({"dst": r.dst, "cve": text(r.ways, "e"), "service": text(r.ways, "d"), "source": text(r.ways, "a")})
+    order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in table.column_names], null_placement="at_start").to_numpy().astype(np.int64)
+    cves, services, flaw_cves = text(r.ways, "e"), text(r.ways, "d"), text(r.flaws, "e")
+    privileges, gates = r.privileges.to_pylist(), r.by_order()
+    none = pa.scalar("", pa.string())
+
+    for low, high in r.blocks(CELLS // 4):
+        rank = r.ranks(low, high)
+        least = np.full((len(r.hosts), high - low), NEVER, dtype=np.int32)
+        for x in rank:
+            np.minimum(least, x, out=least)
+
+        def rows(p: int, host: np.ndarray, row: np.ndarray, kind: int, cve, service, source, gate: np.ndarray | None, low: int = low) -> Iterator[list[pa.Array]]:
+            """Columns of STEP, a batch at a time; cve and service: names and places in them."""
+            for at in range(0, len(host), BATCH):
+                n = len(host[at : at + BATCH])
+                take = lambda x: pa.repeat(none, n) if x is None else x[0].take(pa.array(x[1][at : at + n]))  # noqa: B023, E731
+                yield [take((r.attackers, row + low)), take((r.hosts, host)), take((r.privileges, np.full(len(host), p))), pa.repeat(pa.scalar(kind, pa.int32()), n),
+                       take(cve), take(service), take(source), take(None if gate is None else (r.privileges, gate))]
+
+        def gate_of(p: int, premise: np.ndarray, host: np.ndarray, row: np.ndarray, allowed: list[int], rank: list[np.ndarray] = rank) -> np.ndarray:
+            """The first privilege on a premise's host whose rank is smaller, -1 where there is none."""
+            out = np.full(len(host), -1)
+            for g in reversed(allowed):
+                out[rank[g][premise, row] < rank[p][host, row]] = g
+            return out
+
+        for p, name in enumerate(privileges):
+            open_ = rank[p] < NEVER
+            begun = np.zeros_like(open_)
+            mine = (r.who >= low) & (r.who < high) & (r.held == p)
+            begun[r.begin[mine], r.who[mine] - low] = True
+            yield from rows(p, *np.nonzero(begun), 0, None, None, None, None)
+            if name is None:
+                continue
+            open_ &= ~begun
+            known = pc.is_valid(r.attackers.slice(low, high - low)).to_numpy(zero_copy_only=False)
+            open_[:, ~known] = False
+            flaws = np.full(len(r.hosts), -1)
+            own = np.flatnonzero((r.flawed >= 0) & (r.adds == p))
+            flaws[r.flawed[own]] = own
+            host, row = np.nonzero(open_ & (flaws >= 0)[:, None])
+            gate = gate_of(p, host, host, row, [g for g in r.gates() if g != p])
+            held = gate >= 0
+            host, row, gate = host[held], row[held], gate[held]
+            yield from rows(p, host, row, 1, (flaw_cves, flaws[host]), None, (r.hosts, host), gate)
+            open_[host, row] = False
+            own = order[r.gives[order] == p]
+            if not len(own):
+                continue
+            into, first = np.unique(r.dst[own], return_index=True)
+            fit = least[r.src[own]] < rank[p][r.dst[own]]
+            best = np.minimum.reduceat(np.where(fit, np.arange(len(own), dtype=np.int32)[:, None], np.int32(NEVER)), first, axis=0)
+            to, row = np.nonzero((best < NEVER) & open_[into])
+            way, host = own[best[to, row]], into[to]
+            yield from rows(p, host, row, 2, (cves, way), (services, way), (r.hosts, r.src[way]), gate_of(p, r.src[way], host, row, gates))
+
+
 def _goals_of(r: _Region) -> Iterator[list[pa.Array]]:
     known = (r.aim >= 0) & (r.target >= 0)
     root = pc.index_in(pa.scalar("root"), value_set=r.privileges).as_py()

@@ -49,20 +49,25 @@ def exploit_edges(store: FactStore, access: DataFrame | None = None) -> DataFram
     return access.join(open_, ["destination_host", "service_name"], "left_semi").select(F.col("source_host").alias("src"), F.col("destination_host").alias("dst")).distinct()
 
 
-def exploit_ways(store: FactStore, access: DataFrame | None = None) -> DataFrame:
+def exploit_ways(store: FactStore, access: DataFrame | None = None, named: bool = False) -> DataFrame:
     """(src, dst, privilege): what open routes to vulnerable services give; a way may come once per service.
 
+    With ``named``, also the service and the smallest vulnerability id (cve) there.
+
     Without access given, only routes to vulnerable services meet the denies, all dealt out by the service.
     """
     hole = ["destination_host", "service_name"]
     holes = _holes(store)
+    if named:
+        cve = F.min(F.struct(F.col("vulnerability_id").alias("cve"))).alias("x")  # in a struct nulls count, and come first
+        holes = store.vulnerabilities.groupBy(F.col("host_name").alias("destination_host"), F.col("affected_service").alias("service_name"), "privilege").agg(cve).select(*hole, "privilege", "x.cve")
     if access is None:
         stated = store.network_access.select(*ROUTE, F.lit(0).alias("denied"))
         denies = store.firewall_rules.filter(F.col("rule_action") == "deny").select(F.col("source_zone").alias("source_host"), "destination_host", "service_name", F.lit(1).alias("denied"))
         # grouping puts nulls together, the rule does not: the join drops nulls at one end, the filter those at the other
         every = stated.unionByName(denies).filter("source_host IS NOT NULL").join(holes.select(*hole).distinct().hint("shuffle_hash"), hole, "left_semi")
         access = every.groupBy(*ROUTE).agg(F.max("denied").alias("denied")).filter("denied = 0")
-    return access.join(holes.hint("shuffle_hash"), hole).select(F.col("source_host").alias("src"), F.col("destination_host").alias("dst"), "privilege")
+    return access.join(holes.hint("shuffle_hash"), hole).select(F.col("source_host").alias("src"), F.col("destination_host").alias("dst"), "privilege", *([F.col("service_name").alias("service"), "cve"] if named else []))
 
 
 def starts(store: FactStore) -> DataFrame:

@@ -5,10 +5,11 @@ import random
 import numpy as np
 import pytest
 from oracle import derive, state
+from pyspark.sql import functions as F
 from test_engine import HARD, TWO_HOPS, apply
 
 from breachline.functions import topologies as topo
-from breachline.operators import metrics, regions, rules, updates
+from breachline.operators import metrics, provenance, regions, rules, updates
 from breachline.operators.fixpoint import reach
 from breachline.plans.engines import IncrementalEngine
 from breachline.plans.facts import FactStore
@@ -92,3 +93,30 @@ def test_updates_by_regions(spark):
         assert {(r.predicate, tuple(r.args)) for r in updates.left(before, after).collect()} == {(p, f) for p in new if p != "effectiveAccess" for f in new[p]}
         before = after
     assert engine.repairs == ["regions"] * 3
+
+
+@pytest.mark.parametrize("rows", [TWO_HOPS, HARD, {}, topo.random_rows(3), topo.random_rows(7)])
+def test_proofs_keep_no_pairs(spark, monkeypatch, rows):
+    """Proof edges of executions region by region, attackers dealt out and in blocks, are those found by joins."""
+    rows = dict(rows) | {"attackerLocated": [(f"{a}{k}", h, p) for k in range(3) for a, h, p in rows.get("attackerLocated", ())]}
+    rows["localVulExists"] = [*rows.get("localVulExists", ()), *((h, f"L{k}", p) for k, (_, h, _) in enumerate(rows["attackerLocated"]) for p in ("user", "root"))]
+    store = FactStore.of(spark, rows)
+    only = ("execCode", "ownsMachine", "goalReached")
+    show = lambda df: sorted((r.predicate, tuple(r.args), r.rule, r.place, r.premise, tuple(r.premise_args)) for r in df.collect())
+    want = show(provenance.proof_edges(store, only, small_edges=0))
+    monkeypatch.setattr(provenance, "cut", lambda *_: pytest.fail("pairs or steps are kept"))
+    monkeypatch.setattr(regions, "SHARE", 20)
+    monkeypatch.setattr(regions, "CELLS", 40)
+    assert show(provenance.proof_edges(store, only)) == want
+
+
+def test_proofs_with_nulls(spark):
+    """Nulls in privileges, hosts, services and ids, as by joins."""
+    store = FactStore.of(spark, HARD)
+    for p, c in (("vulExists", "vulnerability_id"), ("vulExists", "privilege"), ("localVulExists", "vulnerability_id"), ("localVulExists", "privilege"), ("hacl", "service_name")):
+        df = store.relation(p)
+        store = store.with_relation(p, df.unionByName(df.withColumn(c, F.lit(None).cast("string"))))
+    odd = spark.createDataFrame([("nul", "a", None), ("nil", None, "user")], "attacker_id string, starting_host string, initial_privilege string")
+    store = store.with_relation("attackerLocated", store.attacker_positions.unionByName(odd))
+    show = lambda df: sorted(map(str, df.collect()))
+    assert show(provenance.proof_edges(store, ("execCode",))) == show(provenance.proof_edges(store, ("execCode",), small_edges=0))
